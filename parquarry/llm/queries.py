@@ -72,7 +72,10 @@ def op7_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return urlrules.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "mined_rule")
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.when(bad, urlrules.BLOCK).otherwise(urlrules.ALLOW).alias("label"))
+    labelled = pages.join(labels, F.col("page_id") == F.col("doc_id")).select("url", "label")
+    return urlrules.judge(pages, URL_RULES, labelled).select("page_id", "host", "path", "rule", "verdict", "mined_rule")
 
 
 def op9_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
