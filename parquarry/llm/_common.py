@@ -86,8 +86,11 @@ def unsigned_hex(c: Column) -> Column:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop shuffle files that nothing can read any more, now rather than at the
-    driver's next full collection."""
+    driver's next full collection. Twice, since Python's handles are let go between collections."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
