@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parquarry.llm._common import bounded_batches
+from parquarry.llm._common import bounded_batches, col, fresh
 
 #: Transitions, stable pairs and whole matches remembered in a worker; all may be forgotten.
 MAX_STATES = 400_000
@@ -298,3 +298,13 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "dec
 
 def unpack(packed: bytes) -> list[int]:
     return np.frombuffer(packed, "<u4").tolist()
+
+
+def tokenize(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """``docs`` plus ``ids`` (packed), ``n_tokens`` and ``round_trip``: whether the ids decode to the text.
+
+    Columns of these names are replaced.
+    """
+    (back,) = fresh(docs, "bpe_decoded")
+    coded = decode(encode(docs, path, pattern, text_col, "ids"), path, "ids", back)
+    return coded.withColumns({"n_tokens": (F.octet_length("ids") / 4).cast("long"), "round_trip": F.col(back).eqNullSafe(col(text_col))}).drop(back)

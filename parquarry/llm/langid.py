@@ -162,19 +162,36 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
     bounded_batches(spark)
     keep = [c for c in docs.columns if c not in (lang_out, score_out)] if keep is None else keep
     (text,) = fresh(docs, "langid_text")
-    given = docs.select(*[col(c) for c in keep], col(text_col).alias(text))
+    own = text_col not in keep  # else the text travels once
+    given = docs.select(*[col(c) for c in keep], *[col(text_col).alias(text)] * own)
+    at = len(keep) if own else keep.index(text_col)
     shared = spark.sparkContext.broadcast(model)  # MATRIX_BYTES at most
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            langs, scores = m.predict(b.column(n).to_pylist())
+            langs, scores = m.predict(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[:n], lang_out, score_out])
 
     return given.mapInArrow(run, given.drop(text).withColumns({lang_out: F.lit(""), score_out: F.lit(0.0)}).schema)
 
 
+#: Documents whose language is less certain than this go.
+MIN_SCORE = 0.5
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
+    """``docs`` whose text has a language, by a model of their own labels; without any label, all that
+    have a letter."""
+    model = train(docs, id_col, text_col, lang_col)
+    lang, score = fresh(docs, "langid_lang", "langid_score")
+    if not model.languages:
+        return docs.where(F.coalesce(col(text_col), F.lit("")).rlike(r"\p{L}"))
+    found = predict(docs, model, text_col, lang, score)
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= min_score)).drop(lang, score)
+
+
 def held_out(id_col: Column, modulus: int) -> Column:
     """Whether crc32 of the id as text leaves remainder 0; a null id is never held out."""
     return F.coalesce(F.crc32(id_col.cast("string")) % modulus == 0, F.lit(False))

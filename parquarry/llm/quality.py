@@ -170,6 +170,13 @@ def judge(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] | None
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("rejected_by")
 
 
+def keep(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their own columns, whatever their names."""
+    (row,) = fresh(docs, "quality_row")
+    whole = docs.select(F.struct(*[col(c) for c in docs.columns]).alias(row), col(text_col).alias("text"))
+    return judge(whole, "text", rules, sample_rows).where("kept").select(f"{row}.*")
+
+
 ORACLE = """
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
