@@ -174,7 +174,10 @@ def keep(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] | None =
     """The rows of ``docs`` that ``judge`` keeps, with their own columns, whatever their names."""
     (row,) = fresh(docs, "quality_row")
     whole = docs.select(F.struct(*[col(c) for c in docs.columns]).alias(row), col(text_col).alias("text"))
-    return judge(whole, "text", rules, sample_rows).where("kept").select(f"{row}.*")
+    judged = judge(whole, "text", rules, sample_rows)
+    # a filter on ``kept`` would be pushed below the steps it is made of and repeat them inside the
+    # lambdas, once a word; no row is generated from a null, which has the same effect up here
+    return judged.select(row, F.explode(F.when(F.col("kept"), F.array(F.lit(True)))).alias("kept")).select(f"{row}.*")
 
 
 ORACLE = """
