@@ -9,7 +9,8 @@ reaches a token that is stable after its predecessor, that is where the encoding
 and a new hypothesis starts there. The set of hypotheses, with the tokens each has made but the
 others have not, is the state of the determinised transducer: tokens on which all agree come out at
 once, so output lags by a bounded lookahead, the longest token. States and transitions are made when
-first needed and forgotten when there are too many; that costs time, never correctness.
+first needed, up to a number that bounds memory; beyond it the same step is taken without being
+remembered, until it leads back to a state that is.
 
 Before the merges a pattern splits the text; each match is encoded on its own. A match that is a
 token as a whole is that token, as in tiktoken.
@@ -26,6 +27,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import sys
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -35,13 +38,16 @@ from pyspark.sql import functions as F
 
 from parquarry.llm._common import bounded_batches, col, fresh
 
-#: Transitions, stable pairs and whole matches remembered in a worker; all may be forgotten.
-MAX_STATES = 400_000
-MAX_PAIRS = 1_000_000
-MAX_MATCHES = 400_000
+#: States numbered, pairs and whole matches remembered in a worker. Beyond the first, steps are
+#: taken without being remembered; pairs and matches are forgotten and begun anew.
+MAX_STATES = 60_000
+MAX_PAIRS = 200_000
+MAX_MATCHES = 200_000
 #: Longer matches are not remembered.
 LONG_MATCH = 64
 START = -1
+if array("I").itemsize != 4 or sys.byteorder != "little":
+    raise ImportError("ids are packed as little-endian 32-bit integers, which this machine's are not")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -50,18 +56,31 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The merges carried out one by one, lowest rank first, leftmost of equals: for short pieces."""
+def merge(piece: bytes, ranks: dict[bytes, int], told: list | None = None) -> list[int]:
+    """The merges carried out one by one, lowest rank first, leftmost of equals: for short pieces.
+
+    ``told`` gets (rank, first part, last part) after each merge.
+    """
     parts = [piece[i : i + 1] for i in range(len(piece))]
     while len(parts) > 1:
         found = [(r, i) for i in range(len(parts) - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
         if not found:
             break
-        _, i = min(found)
+        rank, i = min(found)
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        if told is not None:
+            told.append((rank, parts[0], parts[-1]))
     return [ranks[p] for p in parts]
 
 
+#: After the last merge of a token nothing more merges within it.
+NEVER = 1 << 62
+
+
+#: What precedes the first token: nothing merges in it or across its border.
+_NOTHING = ([NEVER], [b""], [b""])
+
+
 class Transducer:
     """See the module's text. One instance serves one vocabulary in one process."""
 
@@ -70,71 +89,95 @@ class Transducer:
             raise ValueError(f"not a byte-level vocabulary: no token for byte {missing[0]}")
         self.ranks = ranks
         self.bytes = {r: t for t, r in ranks.items()}
-        self.child: list[dict[int, int]] = [{}]
-        self.token = [-1]
+        # the trie: node * 256 + byte to the next node, the token that ends there, whether it goes on
+        self.child: dict[int, int] = {}
+        self.token, self.goes_on = [-1], [True]
         for t, r in ranks.items():
             node = 0
             for byte in t:
-                down = self.child[node].get(byte)
+                self.goes_on[node] = True
+                down = self.child.get(node << 8 | byte)
                 if down is None:
-                    down = self.child[node][byte] = len(self.child)
-                    self.child.append({})
+                    down = self.child[node << 8 | byte] = len(self.token)
                     self.token.append(-1)
+                    self.goes_on.append(False)
                 node = down
             self.token[node] = r
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        """Drops all states but the first."""
+        self.pairs: dict[int, bool] = {}
+        self.edges: dict[int, tuple | None] = {}
         first = ((0, START, ()),)
         self.number = {first: 0}
         self.states = [first]
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        self.flush: list[tuple[int, ...]] = [()]
+        #: state * 256 + byte to the next state and the tokens that are then certain
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+
+    def grown(self, token: int) -> tuple | None:
+        """How a token's own bytes merge: ranks in order, first parts and last parts, each from the
+        single bytes on; None if they do not end in the token."""
+        if token not in self.edges:
+            told: list = []
+            t = self.bytes[token]
+            ends = merge(t, self.ranks, told)
+            self.edges[token] = ([*[r for r, _, _ in told], NEVER], [t[:1], *[a for _, a, _ in told]], [t[-1:], *[z for _, _, z in told]]) if ends == [token] else None
+        return self.edges[token]
 
     def stable(self, left: int, right: int) -> bool:
-        """Whether the encoding of the two tokens' bytes is the two tokens."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= MAX_PAIRS:
-                self.pairs.clear()
-            if left == START:
-                known = merge(self.bytes[right], self.ranks) == [right]
+        """Whether the merges of the two tokens' bytes end in the two tokens: whether, as both sides
+        merge in order of rank, no merge across the border is ever due first. After START: whether
+        the right one's bytes end in it."""
+        known = self.pairs.get(left << 32 | right)
+        if known is not None:
+            return known
+        a, b = self.grown(left) if left != START else _NOTHING, self.grown(right)
+        known = a is not None and b is not None
+        i = j = 0
+        while known:
+            across = self.ranks.get(a[2][i] + b[1][j], NEVER) if left != START else NEVER
+            if across < a[0][i] and across <= b[0][j]:
+                known = False
+            elif a[0][i] <= b[0][j]:
+                if a[0][i] == NEVER:
+                    break
+                i += 1
             else:
-                known = merge(self.bytes[left] + self.bytes[right], self.ranks) == [left, right]
-            self.pairs[left, right] = known
+                j += 1
+        if len(self.pairs) >= MAX_PAIRS:
+            self.pairs.clear()
+        self.pairs[left << 32 | right] = known
         return known
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The next state and the tokens that are now certain; remembered."""
+    def step(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
+        """The next set of hypotheses, and the tokens on which all of them now agree."""
         alive, end = [], None
-        for node, last, out in self.states[state]:
-            down = self.child[node].get(byte)
+        child, token, goes_on, pairs = self.child, self.token, self.goes_on, self.pairs
+        for h in state:
+            down = child.get(h[0] << 8 | byte)
             if down is None:
                 continue
-            if self.child[down]:
-                alive.append((down, last, out))
-            token = self.token[down]
-            if end is None and token >= 0 and self.stable(last, token):
-                end = (0, token, (*out, token))
+            last = h[1]
+            if goes_on[down]:
+                alive.append((down, last, h[2]))
+            t = token[down]
+            if t >= 0 and end is None:
+                ok = pairs.get(last << 32 | t)
+                if ok is None:
+                    ok = self.stable(last, t)
+                if ok:
+                    end = (0, t, (*h[2], t))
         if end is None:
             raise ValueError("the vocabulary's merges don't determine an encoding")
+        sure = end[2]
+        n = len(sure)
+        for h in alive:
+            out = h[2]
+            n = min(n, len(out))
+            while n and out[:n] != sure[:n]:
+                n -= 1
+            if not n:
+                alive.append(end)
+                return tuple(alive), ()
         alive.append(end)
-        agreed = 0
-        shortest = min(len(out) for _, _, out in alive)
-        while agreed < shortest and all(out[agreed] == end[2][agreed] for _, _, out in alive):
-            agreed += 1
-        sure = end[2][:agreed]
-        key = tuple((node, last, out[agreed:]) for node, last, out in alive)
-        number = self.number.get(key)
-        if number is None:
-            number = self.number[key] = len(self.states)
-            self.states.append(key)
-            self.moves.append({})
-            self.flush.append(key[-1][2])
-        self.moves[state][byte] = (number, sure)
-        return number, sure
+        return tuple([(node, last, out[n:]) for node, last, out in alive]), sure[:n]
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of one match of the pattern."""
@@ -142,25 +185,23 @@ class Transducer:
         if whole is not None:
             return [whole]
         out: list[int] = []
-        state, moves = 0, self.moves
+        moves, number, states = self.moves, self.number, self.states
+        now, key = 0, states[0]  # now is -1 in a state without a number
         for byte in piece:
-            move = moves[state].get(byte)
-            if move is None:
-                if len(self.states) > MAX_STATES:
-                    key = self.states[state]
-                    self.forget()
-                    moves = self.moves
-                    if key not in self.number:  # go on from here
-                        self.number[key] = len(self.states)
-                        self.states.append(key)
-                        self.moves.append({})
-                        self.flush.append(key[-1][2])
-                    state = self.number[key]
-                move = self.step(state, byte)
-            state, sure = move
+            move = moves.get(now << 8 | byte) if now >= 0 else None
+            if move is not None:
+                now, sure = move
+            else:
+                key, sure = self.step(states[now] if now >= 0 else key, byte)
+                before, now = now, number.get(key, -1)
+                if now < 0 and len(states) < MAX_STATES:
+                    now = number[key] = len(states)
+                    states.append(key)
+                if before >= 0 and now >= 0:
+                    moves[before << 8 | byte] = (now, sure)
             if sure:
                 out += sure
-        out += self.flush[state]
+        out += (states[now] if now >= 0 else key)[-1][2]
         return out
 
 
@@ -174,11 +215,19 @@ class Encoder:
         self.transducer = Transducer(ranks)
         encode = self.transducer.encode
 
+        older: dict[str, bytes] = {}
+
         class Matches(dict):
+            """Two generations: when the newer is full it becomes the older, which is then forgotten."""
+
             def __missing__(self, match: str) -> bytes:
-                packed = np.array(encode(match.encode()), "<u4").tobytes()
+                nonlocal older
+                packed = older.get(match)
+                if packed is None:
+                    packed = array("I", encode(match.encode())).tobytes()
                 if len(match) <= LONG_MATCH:
                     if len(self) >= MAX_MATCHES:
+                        older = dict(self)
                         self.clear()
                     self[match] = packed
                 return packed
