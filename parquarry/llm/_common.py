@@ -19,7 +19,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Largest Arrow batch handed to Python. Whole texts travel in these, so memory in a
 #: worker is a small multiple of this or of the longest text, whichever is larger.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 BATCH_ROWS = 4096
 
 

@@ -318,31 +318,59 @@ def _decoder(path: str) -> Decoder:
     return Decoder(load_ranks(path))
 
 
-def _mapped(docs: DataFrame, in_col: str, out_col: str, out_type: pa.DataType, one: Callable[[], Callable]) -> DataFrame:
-    """``docs`` with a column made from another, value by value; null gives null."""
+def _mapped(docs: DataFrame, in_col: str, outs: dict[str, str], make: Callable[[], Callable]) -> DataFrame:
+    """``docs`` with columns ``outs`` (name to binary or string) made of a value of ``in_col`` by what
+    ``make`` returns; null gives nulls."""
     bounded_batches(docs.sparkSession)
     src = docs.columns.index(in_col)
-    at = [i for i, c in enumerate(docs.columns) if c != out_col]
-    names = [docs.columns[i] for i in at]
+    at = [i for i, c in enumerate(docs.columns) if c not in outs]
+    names = [*[docs.columns[i] for i in at], *outs]
+    types = [pa.binary() if t == "binary" else pa.string() for t in outs.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = one()
+        f = make()
+        nothing = (None,) * len(types)
         for b in batches:
-            values = [None if v is None else f(v) for v in b.column(src).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in at], pa.array(values, out_type)], names=[*names, out_col])
+            values = [nothing if v is None else f(v) for v in (x.as_py() for x in b.column(src))]
+            made = zip(*values, strict=True) if values else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in at], *[pa.array(x, t) for x, t in zip(made, types, strict=True)]], names=names)
 
-    kind = "binary" if out_type == pa.binary() else "string"
-    return docs.mapInArrow(run, docs.drop(out_col).withColumn(out_col, F.lit(None).cast(kind)).schema)
+    return docs.mapInArrow(run, docs.drop(*outs).withColumns({c: F.lit(None).cast(t) for c, t in outs.items()}).schema)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """Adds each text's ids, packed as little-endian unsigned 32-bit integers (``unpack`` gives an array)."""
-    return _mapped(docs, text_col, out_col, pa.binary(), lambda: _encoder(path, pattern).encode)
+
+    def make() -> Callable:
+        one = _encoder(path, pattern).encode
+        return lambda text: (one(text),)
+
+    return _mapped(docs, text_col, {out_col: "binary"}, make)
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds the text that each row's packed ids stand for."""
-    return _mapped(docs, ids_col, out_col, pa.string(), lambda: _decoder(path).decode)
+
+    def make() -> Callable:
+        one = _decoder(path).decode
+        return lambda ids: (one(ids),)
+
+    return _mapped(docs, ids_col, {out_col: "string"}, make)
+
+
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids", back_col: str = "decoded") -> DataFrame:
+    """``encode``, then ``decode`` of what it gave, in the same worker."""
+
+    def make() -> Callable:
+        there, back = _encoder(path, pattern).encode, _decoder(path).decode
+
+        def both(text: str) -> tuple[bytes, str]:
+            ids = there(text)
+            return ids, back(ids)
+
+        return both
+
+    return _mapped(docs, text_col, {out_col: "binary", back_col: "string"}, make)
 
 
 def unpack(packed: bytes) -> list[int]:
@@ -355,5 +383,5 @@ def tokenize(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -
     Columns of these names are replaced.
     """
     (back,) = fresh(docs, "bpe_decoded")
-    coded = decode(encode(docs, path, pattern, text_col, "ids"), path, "ids", back)
+    coded = encode_and_decode(docs, path, pattern, text_col, "ids", back)
     return coded.withColumns({"n_tokens": (F.octet_length("ids") / 4).cast("long"), "round_trip": F.col(back).eqNullSafe(col(text_col))}).drop(back)
