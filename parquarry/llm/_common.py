@@ -94,3 +94,17 @@ def release(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.5)
+
+
+_model: dict[tuple, object] = {}
+
+
+def only(key: tuple, make) -> object:
+    """In a Python worker: what ``make`` gives, kept for later tasks until another key is asked for.
+
+    Workers outlive their tasks, so one operator's model must not stay beside the next one's.
+    """
+    if key not in _model:
+        _model.clear()
+        _model[key] = make()
+    return _model[key]

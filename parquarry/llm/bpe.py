@@ -26,7 +26,6 @@ proportion and, besides the text and its ids, memory within fixed bounds. An unk
 from __future__ import annotations
 
 import base64
-import functools
 import sys
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -36,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parquarry.llm._common import bounded_batches, col, fresh
+from parquarry.llm._common import bounded_batches, col, fresh, only
 
 #: States numbered, pairs and whole matches remembered in a worker. Beyond the first, steps are
 #: taken without being remembered; pairs and matches are forgotten and begun anew.
-MAX_STATES = 60_000
-MAX_PAIRS = 200_000
+MAX_STATES = 40_000
+MAX_PAIRS = 100_000
 MAX_MATCHES = 200_000
 #: Longer matches are not remembered.
 LONG_MATCH = 64
@@ -308,14 +307,14 @@ class Decoder:
         return "".join(self.stream(ids[k : k + at_a_time].tolist() for k in range(0, len(ids), at_a_time)))
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(load_ranks(path), pattern)
+def _both(path: str, pattern: str | None) -> tuple[Encoder | None, Decoder]:
+    """This worker's encoder (if there is a pattern) and decoder."""
 
+    def make() -> tuple[Encoder | None, Decoder]:
+        ranks = load_ranks(path)
+        return Encoder(ranks, pattern) if pattern is not None else None, Decoder(ranks)
 
-@functools.lru_cache(maxsize=2)
-def _decoder(path: str) -> Decoder:
-    return Decoder(load_ranks(path))
+    return only(("bpe", path, pattern), make)
 
 
 def _mapped(docs: DataFrame, in_col: str, outs: dict[str, str], make: Callable[[], Callable]) -> DataFrame:
@@ -342,7 +341,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
     """Adds each text's ids, packed as little-endian unsigned 32-bit integers (``unpack`` gives an array)."""
 
     def make() -> Callable:
-        one = _encoder(path, pattern).encode
+        one = _both(path, pattern)[0].encode
         return lambda text: (one(text),)
 
     return _mapped(docs, text_col, {out_col: "binary"}, make)
@@ -352,7 +351,7 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "dec
     """Adds the text that each row's packed ids stand for."""
 
     def make() -> Callable:
-        one = _decoder(path).decode
+        one = _both(path, None)[1].decode
         return lambda ids: (one(ids),)
 
     return _mapped(docs, ids_col, {out_col: "string"}, make)
@@ -362,7 +361,8 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, text_col: str =
     """``encode``, then ``decode`` of what it gave, in the same worker."""
 
     def make() -> Callable:
-        there, back = _encoder(path, pattern).encode, _decoder(path).decode
+        encoder, decoder = _both(path, pattern)
+        there, back = encoder.encode, decoder.decode
 
         def both(text: str) -> tuple[bytes, str]:
             ids = there(text)

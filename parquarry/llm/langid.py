@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parquarry.llm._common import bounded_batches, col, fresh
+from parquarry.llm._common import bounded_batches, col, fresh, only
 
 UNKNOWN = "und"
 MAX_DOCS = 5000
@@ -32,7 +32,7 @@ MATRIX_BYTES = 64 << 20
 COLUMNS = 1 << 15
 MAX_LANGUAGES = 1 << 13
 #: Characters that are hashed at a time.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def columns_for(n_languages: int) -> int:
@@ -137,6 +137,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
+        only(("langid",), lambda: None)
         for b in batches:
             langs = [number[x] for x in b.column(0).to_pylist()]
             texts = [normalise(t) for t in b.column(1).to_pylist()]
@@ -169,7 +170,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = only(("langid",), lambda: None) or shared.value
         for b in batches:
             langs, scores = m.predict(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[:n], lang_out, score_out])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parquarry.llm._common import bounded_batches, checkpointed, col, fresh, shuffle_partitions, unsigned_hex
+from parquarry.llm._common import bounded_batches, checkpointed, col, fresh, only, shuffle_partitions, unsigned_hex
 from parquarry.llm.components import components
 
 WORDS, BITS, SEED = 4, 4, 42
@@ -90,6 +90,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", width: int = WORDS, ou
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(("simhash",), lambda: None)
         for b in batches:
             found = np.array([simhash(t.as_py(), width) for t in b.column(n)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(found, pa.int64())], names=[*b.schema.names[:n], out_col])
