@@ -19,7 +19,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Largest Arrow batch handed to Python. Whole texts travel in these, so memory in a
 #: worker is a small multiple of this or of the longest text, whichever is larger.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BATCH_ROWS = 4096
 
 
@@ -99,6 +99,17 @@ def release(spark: SparkSession) -> None:
 _model: dict[tuple, object] = {}
 
 
+def _trim() -> None:
+    """Memory that has been freed goes back to the system, where the C library can do that."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def only(key: tuple, make) -> object:
     """In a Python worker: what ``make`` gives, kept for later tasks until another key is asked for.
 
@@ -106,5 +117,6 @@ def only(key: tuple, make) -> object:
     """
     if key not in _model:
         _model.clear()
+        _trim()
         _model[key] = make()
     return _model[key]

@@ -41,7 +41,8 @@ from parquarry.llm._common import bounded_batches, col, fresh, only
 #: taken without being remembered; pairs and matches are forgotten and begun anew.
 MAX_STATES = 40_000
 MAX_PAIRS = 100_000
-MAX_MATCHES = 200_000
+MAX_GROWN = 5_000
+MAX_MATCHES = 150_000
 #: Longer matches are not remembered.
 LONG_MATCH = 64
 START = -1
@@ -114,6 +115,8 @@ class Transducer:
         """How a token's own bytes merge: ranks in order, first parts and last parts, each from the
         single bytes on; None if they do not end in the token."""
         if token not in self.edges:
+            if len(self.edges) >= MAX_GROWN:
+                self.edges.clear()
             told: list = []
             t = self.bytes[token]
             ends = merge(t, self.ranks, told)
