@@ -83,7 +83,8 @@ def digest(text: Column) -> Column:
 def known_licenses(spark: SparkSession, known: dict[str, list[str]] | None = None) -> DataFrame:
     """``license_id, text`` of ``known`` (by default the built-in ones)."""
     rows = [(k, t) for k, texts in (KNOWN if known is None else known).items() for t in texts]
-    return spark.createDataFrame(rows, "license_id string, text string")
+    one = [F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("text")) for k, t in rows]
+    return spark.range(1).select(F.inline(F.array(*one)))
 
 
 def scan(docs: DataFrame, known: DataFrame, text_col: str = "text") -> DataFrame:
