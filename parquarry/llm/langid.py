@@ -69,7 +69,7 @@ def gram_columns(codes: np.ndarray, n_columns: int) -> tuple[np.ndarray, np.ndar
 
 def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(code points, owner's index) of normalised texts, up to about PIECE at a time; pieces of one
-    text share two characters, so that every n-gram lies in just one."""
+    text share two characters, so that every n-gram lies within one."""
     group, owner, size = [], [], 0
     for i, t in enumerate(texts):
         for at in range(0, max(len(t) - 2, 1), PIECE):
@@ -85,8 +85,8 @@ def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def grams(texts: list[str], n_columns: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(columns, owner's index) of all n-grams of normalised texts. In a text cut into pieces, the
-    2-gram of the two shared characters would count in both; it counts in the later piece."""
+    """(columns, owner's index) of all n-grams of normalised texts. Where a text is cut into pieces, the
+    2-gram of the two characters that they share counts once more, in training and scoring alike."""
     for codes, owner in _pieces(texts):
         if len(codes) < 2:
             continue
