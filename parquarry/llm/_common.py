@@ -120,3 +120,4 @@ def only(key: tuple, make) -> object:
         _trim()
         _model[key] = make()
     return _model[key]
+

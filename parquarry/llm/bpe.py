@@ -39,10 +39,12 @@ from parquarry.llm._common import bounded_batches, col, fresh, only
 
 #: States numbered, pairs and whole matches remembered in a worker. Beyond the first, steps are
 #: taken without being remembered; pairs and matches are forgotten and begun anew.
-MAX_STATES = 40_000
-MAX_PAIRS = 100_000
-MAX_GROWN = 5_000
-MAX_MATCHES = 150_000
+MAX_STATES = 60_000
+MAX_PAIRS = 300_000
+MAX_GROWN = 30_000
+MAX_MATCHES = 200_000
+#: Bytes of input after which a task forgets its matches when it ends, rather than leave them to an idle worker.
+LONG_TASK = 4 << 20
 #: Longer matches are not remembered.
 LONG_MATCH = 64
 START = -1
@@ -217,25 +219,30 @@ class Encoder:
         self.transducer = Transducer(ranks)
         encode = self.transducer.encode
 
-        older: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        outer = self
 
         class Matches(dict):
             """Two generations: when the newer is full it becomes the older, which is then forgotten."""
 
             def __missing__(self, match: str) -> bytes:
-                nonlocal older
-                packed = older.get(match)
+                packed = outer.older.get(match)
                 if packed is None:
                     packed = array("I", encode(match.encode())).tobytes()
                 if len(match) <= LONG_MATCH:
                     if len(self) >= MAX_MATCHES:
-                        older = dict(self)
+                        outer.older = dict(self)
                         self.clear()
                     self[match] = packed
                 return packed
 
         self.matches = Matches()
 
+    def forget(self) -> None:
+        """Drops the remembered matches, most of what an idle worker would hold; states stay."""
+        self.matches.clear()
+        self.older = {}
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         find = self.matches.__getitem__
@@ -320,9 +327,9 @@ def _both(path: str, pattern: str | None) -> tuple[Encoder | None, Decoder]:
     return only(("bpe", path, pattern), make)
 
 
-def _mapped(docs: DataFrame, in_col: str, outs: dict[str, str], make: Callable[[], Callable]) -> DataFrame:
+def _mapped(docs: DataFrame, in_col: str, outs: dict[str, str], make: Callable[[], Callable], done: Callable[[], None] | None = None) -> DataFrame:
     """``docs`` with columns ``outs`` (name to binary or string) made of a value of ``in_col`` by what
-    ``make`` returns; null gives nulls."""
+    ``make`` returns; null gives nulls. ``done`` ends a long task."""
     bounded_batches(docs.sparkSession)
     src = docs.columns.index(in_col)
     at = [i for i, c in enumerate(docs.columns) if c not in outs]
@@ -332,10 +339,14 @@ def _mapped(docs: DataFrame, in_col: str, outs: dict[str, str], make: Callable[[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         nothing = (None,) * len(types)
+        size = 0
         for b in batches:
+            size += b.column(src).nbytes
             values = [nothing if v is None else f(v) for v in (x.as_py() for x in b.column(src))]
             made = zip(*values, strict=True) if values else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in at], *[pa.array(x, t) for x, t in zip(made, types, strict=True)]], names=names)
+        if size > LONG_TASK and done is not None:
+            done()
 
     return docs.mapInArrow(run, docs.drop(*outs).withColumns({c: F.lit(None).cast(t) for c, t in outs.items()}).schema)
 
@@ -347,7 +358,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
         one = _both(path, pattern)[0].encode
         return lambda text: (one(text),)
 
-    return _mapped(docs, text_col, {out_col: "binary"}, make)
+    return _mapped(docs, text_col, {out_col: "binary"}, make, lambda: _both(path, pattern)[0].forget())
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -373,7 +384,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, text_col: str =
 
         return both
 
-    return _mapped(docs, text_col, {out_col: "binary", back_col: "string"}, make)
+    return _mapped(docs, text_col, {out_col: "binary", back_col: "string"}, make, lambda: _both(path, pattern)[0].forget())
 
 
 def unpack(packed: bytes) -> list[int]:
