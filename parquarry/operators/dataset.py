@@ -112,7 +112,7 @@ class Dataset:
 
     def filter(self, expr: str | Column, use: str = "auto") -> Table:
         if not self._table:
-            if not use.startswith("fsspeckit"):
+            if use != "path":  # "path" reads the files without loading
                 raise RuntimeError("not loaded")
             return Table(self._read()).filter(expr, use)
         return self._table.filter(expr, use)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from parquarry.functions.types import col
 from parquarry.plans import sqltext
 
-USES = ("auto", "pyarrow", "duckdb", "spark", "fsspeckit", "fsspeckit_pyarrow", "fsspeckit_duckdb")
+USES = ("auto", "pyarrow", "duckdb", "spark", "path")
 
 
 @dataclass(frozen=True)
