@@ -408,3 +408,14 @@ def test_mixing(docs, rows, empty, block):
     assert mixed.columns == docs.columns
     assert sum(size(r["text"]) for r in mixed.collect()) == sum(taken.values())
     assert mixing.mix_counts(empty).count() == 0 and mixing.mix(empty).count() == 0
+
+
+def test_copyright_lines(spark):
+    """Lines end at newlines alone, as in plain regular expressions, and a long line of marks is quick."""
+    r = random.Random(3)
+    bits = ["©", "(c)", "copyright", " ", "2024", "\n", "\r", " ", "\u0085", "all rights reserved", "[year]", "x", "# "]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(1, 9))) for _ in range(400)]
+    got = [x[0] for x in spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_replace("t", F.lit(licenses.COPYRIGHT_LINE), "_")).collect()]
+    assert got == [re.sub(licenses.COPYRIGHT_LINE_PLAIN, "_", t, flags=re.ASCII) for t in texts]
+    marks = spark.createDataFrame([("©" * 400_000,)], "t string")
+    assert marks.select(F.length(F.regexp_replace("t", F.lit(licenses.COPYRIGHT_LINE), "_"))).first()[0] == 400_000
