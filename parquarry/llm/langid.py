@@ -18,6 +18,7 @@ go to the first by name. Repeated rows get the same answer; empty table, no rows
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,8 @@ class Model:
     def __init__(self, languages: list[str], weights: np.ndarray, priors: np.ndarray):
         self.languages, self.priors = languages, priors
         self.by_column = np.ascontiguousarray(weights.T, np.float32)
+        #: log-probability of each column in the languages taken together, each as likely as the others
+        self.any = np.logaddexp.reduce(weights, axis=0) - np.log(len(languages)) if languages else np.zeros(weights.shape[1])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         n, k = len(texts), len(self.languages)
@@ -119,21 +122,27 @@ class Model:
         return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)], [float(s) if ok else 0.0 for s, ok in zip(score, known, strict=True)]
 
 
+def _drawn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int, seed: int) -> tuple[DataFrame, dict[str, int]]:
+    """``lang, text`` of about ``max_docs`` labelled rows of each language, and how many rows each has."""
+    spark = labelled.sparkSession
+    rows = labelled.where(col(text_col).isNotNull() & col(lang_col).isNotNull()).select(col(text_col).alias("text"), col(lang_col).alias("lang"), F.xxhash64(col(id_col), F.lit(seed)).alias("draw"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    # draw is uniform: a threshold keeps the wanted share of each language
+    share = spark.createDataFrame([(x, min(1.0, max_docs / n)) for x, n in counts.items()], "lang string, share double")
+    rows = rows.join(F.broadcast(share), "lang").where(F.shiftrightunsigned("draw", 33) < F.col("share") * F.lit(float(1 << 31))).select("lang", "text")
+    return rows, counts
+
+
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, seed: int = 11) -> Model:
     """Fits on rows with a text and a language; about ``max_docs`` of each language, by a hash."""
     spark = labelled.sparkSession
     bounded_batches(spark)
-    rows = labelled.where(col(text_col).isNotNull() & col(lang_col).isNotNull()).select(col(text_col).alias("text"), col(lang_col).alias("lang"), F.xxhash64(col(id_col), F.lit(seed)).alias("draw"))
-    per = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    languages = sorted(r["lang"] for r in per)
+    rows, counts = _drawn(labelled, id_col, text_col, lang_col, max_docs, seed)
+    languages = sorted(counts)
     n_columns = columns_for(len(languages))
     if not languages:
         return Model([], np.zeros((0, n_columns)), np.zeros(0))
-    counts = {r["lang"]: r["n"] for r in per}
     number = {x: i for i, x in enumerate(languages)}
-    # draw is uniform: a threshold keeps the wanted share of each language
-    share = spark.createDataFrame([(x, min(1.0, max_docs / n)) for x, n in counts.items()], "lang string, share double")
-    rows = rows.join(F.broadcast(share), "lang").where(F.shiftrightunsigned("draw", 33) < F.col("share") * F.lit(float(1 << 31))).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -180,17 +189,91 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
 
 #: Documents whose language is less certain than this go.
 MIN_SCORE = 0.5
+#: So do those whose n-grams are so many deviations less likely than those of its labelled texts.
+MAX_DEVIATIONS = 6.0
+#: Neighbouring n-grams overlap: about so many count as one independent one.
+OVERLAP = 5.0
+
+
+@dataclass(frozen=True)
+class Usual:
+    """Per language the mean log-probability of an n-gram (as in ``means``) in a usual text, the median;
+    how far texts lie below it, from the lower quartile; and how far n-grams do. nan without texts."""
+
+    middle: np.ndarray
+    between: np.ndarray
+    within: np.ndarray
+
+    def lowest(self, lang: np.ndarray, n: np.ndarray, deviations: float = MAX_DEVIATIONS) -> np.ndarray:
+        """The least mean that a text of ``n`` n-grams may have; ``lang`` are numbers of languages."""
+        return self.middle[lang] - deviations * np.sqrt(self.between[lang] ** 2 + self.within[lang] ** 2 * OVERLAP / np.maximum(n, 1))
 
 
-def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = MIN_SCORE) -> DataFrame:
+def means(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean log-probability of each text's n-grams in all languages together, and their number: a text
+    that mixes known languages is as likely as others."""
+    total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    for columns, owner in grams([normalise(t) if t else "" for t in texts], len(model.by_column)):
+        total += np.bincount(owner, weights=model.any[columns], minlength=len(texts))
+        n += np.bincount(owner, minlength=len(texts))
+    return total / np.maximum(n, 1), n
+
+
+def usual(model: Model, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, seed: int = 11) -> Usual:
+    """What labelled texts show, about ``max_docs`` of each language (those of ``train``); medians, so that
+    some wrongly labelled texts among them do not count."""
+    spark = labelled.sparkSession
+    rows = _drawn(labelled, id_col, text_col, lang_col, max_docs, seed)[0]
+    shared = spark.sparkContext.broadcast(model)
+    number = {x: i for i, x in enumerate(model.languages)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = only(("langid",), lambda: None) or shared.value
+        for b in batches:
+            langs = [number[x] for x in b.column(0).to_pylist()]
+            mean, n = means(m, b.column(1).to_pylist())
+            ok = n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(langs, np.int32)[ok]), pa.array(mean[ok])], names=["lang", "mean"])
+
+    found = rows.mapInArrow(run, "lang int, mean double").groupBy("lang").agg(F.percentile("mean", F.lit([0.25, 0.5, 0.75])).alias("q")).collect()
+    k = len(model.languages)
+    middle, between = np.full(k, np.nan), np.full(k, np.nan)
+    for r in found:
+        # the lower half's spread: what lies above the middle is never too unlikely
+        middle[r["lang"]], between[r["lang"]] = r["q"][1], (r["q"][1] - r["q"][0]) * 1.4826
+    p = np.exp(model.by_column.astype(float))
+    spread = model.any**2 @ p - (model.any @ p) ** 2
+    return Usual(middle, between, np.sqrt(np.maximum(spread, 0)))
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = MIN_SCORE, deviations: float = MAX_DEVIATIONS) -> DataFrame:
     """``docs`` whose text has a language, by a model of their own labels; without any label, all that
-    have a letter."""
+    have a letter.
+
+    The posterior tells languages apart but is near 1 for any long text, also of none of them; so the
+    mean log-probability of the text's n-grams must besides be one that labelled texts of the language have.
+    """
     model = train(docs, id_col, text_col, lang_col)
-    lang, score = fresh(docs, "langid_lang", "langid_score")
     if not model.languages:
         return docs.where(F.coalesce(col(text_col), F.lit("")).rlike(r"\p{L}"))
-    found = predict(docs, model, text_col, lang, score)
-    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= min_score)).drop(lang, score)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((model, usual(model, docs, id_col, text_col, lang_col)))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(("langid",), lambda: None)
+        m, known = shared.value
+        place = {x: i for i, x in enumerate(m.languages)}
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            langs, scores = m.predict(texts)
+            best = [place.get(x, 0) for x in langs]
+            mean, n = means(m, texts)
+            lowest = known.lowest(np.array(best, np.int64), n, deviations)
+            ok = np.array([x != UNKNOWN for x in langs], bool) & (np.array(scores) >= min_score) & ~(mean < lowest)
+            yield b.filter(pa.array(ok))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: Column, modulus: int) -> Column:
