@@ -29,6 +29,7 @@ import base64
 import sys
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ MAX_MATCHES = 200_000
 LONG_TASK = 4 << 20
 #: Longer matches are not remembered.
 LONG_MATCH = 64
+#: Characters of texts whose matches are looked up together.
+GROUP_CHARS = 1 << 21
 START = -1
 if array("I").itemsize != 4 or sys.byteorder != "little":
     raise ImportError("ids are packed as little-endian 32-bit integers, which this machine's are not")
@@ -208,47 +211,125 @@ class Transducer:
         out += (states[now] if now >= 0 else key)[-1][2]
         return out
 
+    def encode_ascending(self, pieces: Iterable[bytes]) -> Iterator[list[int]]:
+        """Ids of each of ``pieces``, which ascend and are short: where one begins like the one before it,
+        the states and the tokens of those bytes are taken over."""
+        moves, number, states, step = self.moves, self.number, self.states, self.step
+        # after so many bytes: the state's number or -1, its hypotheses if -1, and how many tokens were certain
+        at: list[tuple] = [(0, states[0], 0)]
+        out: list[int] = []
+        before = b""
+        for piece in pieces:
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                yield [whole]
+                continue
+            same = 0
+            for a, b in zip(before, piece, strict=False):
+                if a != b:
+                    break
+                same += 1
+            del at[same + 1 :]
+            now, key, n = at[same]
+            del out[n:]
+            for byte in piece[same:]:
+                move = moves.get(now << 8 | byte) if now >= 0 else None
+                if move is not None:
+                    now, sure = move
+                else:
+                    key, sure = step(states[now] if now >= 0 else key, byte)
+                    left, now = now, number.get(key, -1)
+                    if now < 0 and len(states) < MAX_STATES:
+                        now = number[key] = len(states)
+                        states.append(key)
+                    if left >= 0 and now >= 0:
+                        moves[left << 8 | byte] = (now, sure)
+                if sure:
+                    out += sure
+                at.append((now, key, len(out)))
+            before = piece
+            yield out + [*(states[now] if now >= 0 else key)[-1][2]]
+
 
 class Encoder:
-    """Splits texts by a pattern and encodes each match; whole matches are remembered as packed ids."""
+    """Splits texts by a pattern and encodes each match; whole matches are remembered as packed ids.
+
+    They are kept in two generations: when the newer is full it becomes the older, which is then
+    forgotten. Matches not met yet are encoded together, in ascending order, for the texts of a group.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         self.pattern = regex.compile(pattern)
         self.transducer = Transducer(ranks)
-        encode = self.transducer.encode
-
+        self.newer: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        outer = self
-
-        class Matches(dict):
-            """Two generations: when the newer is full it becomes the older, which is then forgotten."""
-
-            def __missing__(self, match: str) -> bytes:
-                packed = outer.older.get(match)
-                if packed is None:
-                    packed = array("I", encode(match.encode())).tobytes()
-                if len(match) <= LONG_MATCH:
-                    if len(self) >= MAX_MATCHES:
-                        outer.older = dict(self)
-                        self.clear()
-                    self[match] = packed
-                return packed
-
-        self.matches = Matches()
 
     def forget(self) -> None:
         """Drops the remembered matches, most of what an idle worker would hold; states stay."""
-        self.matches.clear()
-        self.older = {}
+        self.newer, self.older = {}, {}
+
+    def _learn(self, matches: Iterable[str]) -> list[str]:
+        """Puts ``matches`` among the newer ones; those that are too long to stay there are returned."""
+        newer, older = self.newer, self.older
+        short, long = [], []
+        for m in matches:
+            if m not in newer:
+                known = older.get(m)
+                if known is not None:
+                    newer[m] = known
+                elif len(m) <= LONG_MATCH:
+                    short.append(m)
+                else:
+                    long.append(m)
+        short.sort()  # the order of code points is that of their UTF-8
+        for m, ids in zip(short, self.transducer.encode_ascending(m.encode() for m in short), strict=True):
+            newer[m] = array("I", ids).tobytes()
+        for m in long:
+            newer[m] = array("I", self.transducer.encode(m.encode())).tobytes()
+        return long
+
+    def _end(self, long: list[str]) -> None:
+        for m in long:
+            del self.newer[m]
+        if len(self.newer) >= MAX_MATCHES:
+            self.newer, self.older = {}, self.newer
+
+    def _long_text(self, text: str) -> bytes:
+        out, found = [], self.pattern.finditer(text)
+        while some := [m.group() for m in islice(found, 1 << 17)]:
+            long = self._learn(dict.fromkeys(some))
+            out.append(b"".join(map(self.newer.__getitem__, some)))
+            self._end(long)
+        return b"".join(out)
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Of each text its ids as little-endian unsigned 32-bit integers."""
+        group: list[list[str]] = []
+        size = 0
+
+        def done() -> list[bytes]:
+            nonlocal group, size
+            long = self._learn(set(chain.from_iterable(group)))
+            out = [b"".join(map(self.newer.__getitem__, g)) for g in group]
+            self._end(long)
+            group, size = [], 0
+            return out
+
+        for t in texts:
+            if len(t) >= GROUP_CHARS:
+                yield from done()
+                yield self._long_text(t)
+                continue
+            group.append(self.pattern.findall(t))
+            size += len(t)
+            if size >= GROUP_CHARS:
+                yield from done()
+        yield from done()
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        find = self.matches.__getitem__
-        if len(text) < 1 << 20:
-            return b"".join(map(find, self.pattern.findall(text)))
-        return b"".join(find(m.group()) for m in self.pattern.finditer(text))
+        return next(self.encode_all([text]))
 
 
 class Utf8Machine:
@@ -305,10 +386,11 @@ class Decoder:
         """Text for each piece of ids, as far as it is certain; one more for what is left at the end."""
         machine = Utf8Machine()
         for ids in pieces:
-            out = []
-            for i in ids:
-                text = None if machine.need else self.whole[i]
-                out.append(machine.feed(self.bytes[i]) if text is None else text)
+            out = list(map(self.whole.__getitem__, ids))
+            if machine.need or None in out:
+                for k, i in enumerate(ids):
+                    if machine.need or out[k] is None:
+                        out[k] = machine.feed(self.bytes[i])
             yield "".join(out)
         yield machine.end()
 
@@ -328,8 +410,8 @@ def _both(path: str, pattern: str | None) -> tuple[Encoder | None, Decoder]:
 
 
 def _mapped(docs: DataFrame, in_col: str, outs: dict[str, str], make: Callable[[], Callable], done: Callable[[], None] | None = None) -> DataFrame:
-    """``docs`` with columns ``outs`` (name to binary or string) made of a value of ``in_col`` by what
-    ``make`` returns; null gives nulls. ``done`` ends a long task."""
+    """``docs`` with columns ``outs`` (name to binary or string) made of the values of ``in_col`` that are
+    not null by what ``make`` returns: an iterable of values to one of tuples. ``done`` ends a long task."""
     bounded_batches(docs.sparkSession)
     src = docs.columns.index(in_col)
     at = [i for i, c in enumerate(docs.columns) if c not in outs]
@@ -341,8 +423,10 @@ def _mapped(docs: DataFrame, in_col: str, outs: dict[str, str], make: Callable[[
         nothing = (None,) * len(types)
         size = 0
         for b in batches:
-            size += b.column(src).nbytes
-            values = [nothing if v is None else f(v) for v in (x.as_py() for x in b.column(src))]
+            given = b.column(src)
+            size += given.nbytes
+            found = iter(f(x.as_py() for x in given if x.is_valid))
+            values = [next(found) if ok else nothing for ok in given.is_valid().to_pylist()]
             made = zip(*values, strict=True) if values else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in at], *[pa.array(x, t) for x, t in zip(made, types, strict=True)]], names=names)
         if size > LONG_TASK and done is not None:
@@ -355,8 +439,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
     """Adds each text's ids, packed as little-endian unsigned 32-bit integers (``unpack`` gives an array)."""
 
     def make() -> Callable:
-        one = _both(path, pattern)[0].encode
-        return lambda text: (one(text),)
+        encoder = _both(path, pattern)[0]
+        return lambda texts: ((ids,) for ids in encoder.encode_all(texts))
 
     return _mapped(docs, text_col, {out_col: "binary"}, make, lambda: _both(path, pattern)[0].forget())
 
@@ -365,8 +449,8 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "dec
     """Adds the text that each row's packed ids stand for."""
 
     def make() -> Callable:
-        one = _both(path, None)[1].decode
-        return lambda ids: (one(ids),)
+        decoder = _both(path, None)[1]
+        return lambda packed: ((decoder.decode(ids),) for ids in packed)
 
     return _mapped(docs, ids_col, {out_col: "string"}, make)
 
@@ -376,13 +460,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, text_col: str =
 
     def make() -> Callable:
         encoder, decoder = _both(path, pattern)
-        there, back = encoder.encode, decoder.decode
-
-        def both(text: str) -> tuple[bytes, str]:
-            ids = there(text)
-            return ids, back(ids)
-
-        return both
+        return lambda texts: ((ids, decoder.decode(ids)) for ids in encoder.encode_all(texts))
 
     return _mapped(docs, text_col, {out_col: "binary", back_col: "string"}, make, lambda: _both(path, pattern)[0].forget())
 
