@@ -1,160 +1,248 @@
 """Quality rules as a short-circuit cascade, on DataFrame functions only.
 
-A rule is a SQL condition under which a document is rejected. On a bounded sample every rule is
-timed and every combination of rejections counted; rules are then ordered greedily by rejection
-among the documents that earlier rules let pass, per unit of cost. The cascade is one CASE
-expression in that order: the JVM evaluates its branches in turn and stops at the first that
-rejects, so a document pays for no rule after that. Order never changes which documents pass.
+A rule is a condition on features of a text under which the document goes. What a rule costs is what
+its features cost that no earlier rule has made. On a bounded sample every feature is timed, over the
+sample repeated up to a fixed size in one task, less the time of a pass that makes none, and rounded to
+a power of two, so that noise does not change the order; every combination of verdicts is counted.
+Rules are then ordered greedily by rejections, among the documents that earlier rules let pass, per
+cost. Each step of the cascade makes its rule's features only for documents still in the running
+(CASE WHEN none has rejected), so a rejected document pays for nothing that comes after. The order
+changes cost only, never which documents pass.
 
 Edge cases. Null text: no words, rejected by the length rule. Empty table: every rule keeps its
-given place. Rules that evaluate to null do not reject. Columns of other names pass through.
+given place. Rules that evaluate to null do not reject. Columns of other names pass through, whatever
+they are called; ``judge`` replaces columns of the names that it adds.
 """
 
 from __future__ import annotations
 
+import math
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parquarry.llm._common import SPACE_CLASS, col, fresh
+from parquarry.llm._common import SPACE_CLASS, WORD_PATTERN, col, fresh
 
 #: Symbols that mark leftovers of markup and tables. A fixed value.
 SYMBOLS = "#*$%&|<>"
 #: Rows that the ordering of rules is estimated on; the only part that reads a sample.
 SAMPLE_ROWS = 1000
+#: Bytes of text that each feature is timed on, the sample being repeated up to it.
+TIMED_BYTES = 4 << 20
+
+Get = Callable[[str], Column]
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects(features)`` gives the condition under which a document goes."""
+    """``rejects`` gives the condition under which a document goes, from a function of a feature's name."""
 
     name: str
-    rejects: object
+    rejects: Callable[[Get], Column]
 
+    def needs(self) -> list[str]:
+        """Names of the features that the condition asks for, in order."""
+        asked: dict[str, None] = {}
 
-class Features:
-    """What rules may ask of a whole text besides the ready columns."""
+        def ask(name: str) -> Column:
+            asked[name] = None
+            return F.lit(0)
 
-    def __init__(self, text: Column):
-        self.text = F.coalesce(text, F.lit(""))
+        self.rejects(ask)
+        return list(asked)
 
-    def count_of(self, chars: str) -> Column:
-        """Characters of a regular expression's class ``chars``."""
-        return F.regexp_count(self.text, F.lit(f"[{chars}]")).cast("long")
 
+@dataclass(frozen=True)
+class Feature:
+    """Steps, each a column made from the text (``get("text")``) and the steps before it; the last is the feature."""
 
-def repeated_words(words: Column) -> Column:
-    """Number of words that lie in a three-word window found twice or more in ``words``.
+    steps: Sequence[tuple[str, Callable[[Get], Column]]]
 
-    Windows are sorted with their places, so equal ones meet; the places of those with an equal
-    neighbour, in order, cover min(3, gap) words each. Never quadratic in the text. ``words`` must
-    be a column, not an expression, or it is evaluated anew for every place.
-    """
-    n = F.size(words)
-    # a window is its 64-bit hash: within one text of n words two differ under one hash in n^2 / 2^65
-    windows = F.when(
-        n >= 3,
-        F.transform(
-            F.arrays_zip(F.slice(words, 1, F.greatest(n - 2, F.lit(0))).alias("a"), F.slice(words, 2, F.greatest(n - 2, F.lit(0))).alias("b"), F.slice(words, 3, F.greatest(n - 2, F.lit(0))).alias("c")),
-            lambda w, i: F.struct(F.xxhash64(w["a"], w["b"], w["c"]).alias("h"), i.alias("i")),
-        ),
-    ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-    return F.sort_array(windows)
 
+def count_of(chars: str) -> Feature:
+    """Characters of a regular expression's class ``chars``."""
+    return Feature([("n", lambda get: F.regexp_count(get("text"), F.lit(f"[{chars}]")).cast("long"))])
 
-def base_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` plus ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines`` (long).
 
-    ``n_lines`` counts lines with a word. A column of ``docs`` with one of these names is replaced.
-    """
-    f = Features(col(text_col))
-    words, lines, wins, places = fresh(docs, "quality_words", "quality_lines", "quality_windows", "quality_places")
-    # each step is a column of its own, so that the next one's lambdas read it rather than redo it
-    out = docs.withColumns(
-        {
-            words: F.filter(F.split(f.text, SPACE_CLASS + "+"), lambda w: w != ""),
-            lines: F.filter(F.split(f.text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-            "n_symbols": f.count_of(SYMBOLS),
-        }
-    )
-    out = out.withColumns(
-        {
-            "n_words": F.size(col(words)).cast("long"),
-            "word_chars": F.char_length(F.array_join(col(words), "")).cast("long"),
-            "n_lines": F.size(col(lines)).cast("long"),
-            "n_dup_lines": (F.size(col(lines)) - F.size(F.array_distinct(col(lines)))).cast("long"),
-            wins: repeated_words(col(words)),
-        }
-    )
-    w = col(wins)
+def _windows(get: Get) -> Column:
+    """The three-word windows as (64-bit hash, place), sorted, so that equal ones meet; never quadratic.
+    Within a text of n words two windows differ under one hash in n^2 / 2^65."""
+    words = get("words")
+    n = F.greatest(F.size(words) - 2, F.lit(0))
+    trip = F.arrays_zip(F.slice(words, 1, n).alias("a"), F.slice(words, 2, n).alias("b"), F.slice(words, 3, n).alias("c"))
+    made = F.transform(trip, lambda w, i: F.struct(F.xxhash64(w["a"], w["b"], w["c"]).alias("h"), i.alias("i")))
+    return F.sort_array(F.when(n > 0, made).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+
+
+def _repeated_places(get: Get) -> Column:
+    """Places of windows that equal a neighbour in their order, ascending."""
+    w, same = get("windows"), get("same")
     m = F.size(w)
-    same_as_next = F.zip_with(w, F.slice(w, 2, F.greatest(m, F.lit(1))), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False)))
-    out = out.withColumn(places, same_as_next)
-    p = col(places)
-    # place i is repeated if it equals the next one or the one before it
-    hit = F.zip_with(F.zip_with(w, p, lambda a, b: F.struct(a["i"].alias("i"), b.alias("n"))), F.concat(F.array(F.lit(False)), F.slice(p, 1, F.greatest(m - 1, F.lit(0)))), lambda a, b: F.when(a["n"] | b, a["i"]))
-    out = out.withColumn(places, F.when(m > 0, F.sort_array(F.filter(hit, lambda i: i.isNotNull()))).otherwise(F.array().cast("array<int>")))
+    pairs = F.zip_with(w, same, lambda a, b: F.struct(a["i"].alias("i"), b.alias("n")))
+    hit = F.zip_with(pairs, F.concat(F.array(F.lit(False)), F.slice(same, 1, F.greatest(m - 1, F.lit(0)))), lambda a, b: F.when(a["n"] | b, a["i"]))
+    return F.when(m > 0, F.sort_array(F.filter(hit, lambda i: i.isNotNull()))).otherwise(F.array().cast("array<int>"))
+
+
+def _covered(get: Get) -> Column:
+    """Words under those windows: each place covers three, or as many as there are up to the next."""
+    p = get("places")
     k = F.size(p)
     gaps = F.zip_with(F.slice(p, 1, F.greatest(k - 1, F.lit(0))), F.slice(p, 2, F.greatest(k - 1, F.lit(0))), lambda a, b: F.least(F.lit(3), b - a))
-    covered = F.when(k > 0, F.aggregate(gaps, F.lit(3), lambda s, g: s + g)).otherwise(0)
-    return out.withColumn("n_repeat_words", covered.cast("long")).drop(words, lines, wins, places)
+    return F.when(k > 0, F.aggregate(gaps, F.lit(3), lambda s, g: s + g)).otherwise(0).cast("long")
+
+
+def _lines(get: Get) -> Column:
+    return F.filter(F.split(get("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+
+#: What rules may ask for. Each step is a column of its own, so that the next one's lambdas read it
+#: rather than make it anew for every element.
+FEATURES: dict[str, Feature] = {
+    "n_words": Feature([("n", lambda get: F.regexp_count(get("text"), F.lit(WORD_PATTERN)).cast("long"))]),
+    "word_chars": Feature([("n", lambda get: (F.char_length(get("text")) - F.regexp_count(get("text"), F.lit(SPACE_CLASS))).cast("long"))]),
+    "n_symbols": count_of(SYMBOLS),
+    "n_capitals": count_of("A-Z"),
+    "n_digits": count_of("0-9"),
+    "n_exclamations": count_of("!"),
+    "n_lines": Feature([("lines", _lines), ("n", lambda get: F.size(get("lines")).cast("long"))]),
+    "n_dup_lines": Feature([("lines", _lines), ("n", lambda get: (F.size(get("lines")) - F.size(F.array_distinct(get("lines")))).cast("long"))]),
+    "n_repeat_words": Feature(
+        [
+            ("words", lambda get: F.filter(F.split(get("text"), SPACE_CLASS + "+"), lambda w: w != "")),
+            ("windows", _windows),
+            ("same", lambda get: F.zip_with(get("windows"), F.slice(get("windows"), 2, F.greatest(F.size(get("windows")), F.lit(1))), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False)))),
+            ("places", _repeated_places),
+            ("n", _covered),
+        ]
+    ),
+}
+#: Those that ``judge`` returns.
+BASE = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
+def with_features(docs: DataFrame, names: dict[str, str], text: str, only_if: Column | None = None) -> DataFrame:
+    """``docs`` plus features (name to column's name) of the column ``text``, null where ``only_if`` does
+    not hold. Columns of the given names are replaced; helpers are dropped."""
+    out = docs
+    helpers: dict[str, str] = {}
+    taken = {c.lower() for c in (*docs.columns, *names.values())}
+    todo = {n: list(FEATURES[n].steps) for n in names}
+    while any(todo.values()):
+        made: dict[str, Column] = {}
+        for n, steps in todo.items():
+            if not steps:
+                continue
+            step, build = steps.pop(0)
+            if steps and step in helpers:
+                continue  # another feature has it
+            at = names[n]
+            if steps:
+                at = f"quality_{step}"
+                while at.lower() in taken:
+                    at = "_" + at
+                taken.add(at.lower())
+                helpers[step] = at
+            value = build(lambda x: F.coalesce(col(text), F.lit("")) if x == "text" else col(helpers[x]))
+            made[at] = value if only_if is None else F.when(only_if, value)
+        out = out.withColumns(made)
+    return out.drop(*helpers.values())
+
+
+def base_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` plus BASE (long): words, code points in words, symbols, lines with a word, those equal to an
+    earlier one, words in repeated three-word windows. Columns of these names are replaced."""
+    return with_features(docs, {n: n for n in BASE}, text_col)
+
+
+#: Thresholds in whole numbers, so that every engine agrees.
+def base_rules() -> list[Rule]:
+    return [Rule("short", lambda f: f("n_words") < 50), Rule("repeats", lambda f: 100 * f("n_repeat_words") > 50 * f("n_words"))]
 
 
-#: Thresholds in whole numbers, so that every engine agrees. Text reaches a rule as ``Features``;
-#: the base features stand ready as columns.
 def default_rules() -> list[Rule]:
     return [
-        Rule("symbols", lambda f: 10 * F.col("n_symbols") > F.col("n_words")),
-        Rule("word_length", lambda f: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words"))),
-        Rule("dup_lines", lambda f: 100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
-        Rule("capitals", lambda f: 100 * f.count_of("A-Z") > 40 * F.col("word_chars")),
-        Rule("exclamations", lambda f: 10 * f.count_of("!") > 3 * F.col("n_words")),
-        Rule("digits", lambda f: 100 * f.count_of("0-9") > 30 * F.col("word_chars")),
+        Rule("symbols", lambda f: 10 * f("n_symbols") > f("n_words")),
+        Rule("word_length", lambda f: (f("word_chars") < 2 * f("n_words")) | (f("word_chars") > 20 * f("n_words"))),
+        Rule("dup_lines", lambda f: 100 * f("n_dup_lines") > 30 * f("n_lines")),
+        Rule("capitals", lambda f: 100 * f("n_capitals") > 40 * f("word_chars")),
+        Rule("exclamations", lambda f: 10 * f("n_exclamations") > 3 * f("n_words")),
+        Rule("digits", lambda f: 100 * f("n_digits") > 30 * f("word_chars")),
     ]
 
 
-def order_rules(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[Rule]:
-    """``rules`` by rejection per cost, both from a sample of about ``sample_rows`` of ``docs``.
+def _timed(sample: DataFrame, features: Sequence[str]) -> dict[str, float]:
+    """Seconds that each feature takes on the sample (one partition, cached), as powers of two."""
+    size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 1
+    again = sample.select("text", F.explode(F.sequence(F.lit(1), F.lit(max(1, min(4096, -(-TIMED_BYTES // size)))))).alias("again"))
+
+    def seconds(names: dict[str, str]) -> float:
+        made = with_features(again, names, "text").agg(F.sum(F.octet_length("text")), *[F.sum(n) for n in names.values()])
+        best = math.inf
+        for _ in range(2):  # the first run compiles
+            began = time.perf_counter()
+            made.collect()
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    nothing = min(seconds({}) for _ in range(2))
+    return {f: 2.0 ** round(math.log2(max(seconds({f: "feature"}) - nothing, 1e-3))) for f in features}
+
 
-    The sample is drawn before any feature is made; costs are seconds of a pass over it, kept in
-    memory. What comes to the driver is one row a combination of verdicts, 2 ** len(rules) at most
-    and never more than the sample has rows.
+def order_rules(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS, seed: int = 7, ready: Sequence[str] = ()) -> list[Rule]:
+    """``rules`` by rejections per cost, both from a sample of about ``sample_rows`` of ``docs``.
+
+    Features that are ``ready`` cost nothing. What comes to the driver is one row a combination of
+    verdicts, 2 ** len(rules) at most and never more than the sample has rows, and times.
     """
     n = docs.count()
     if n == 0:
         return list(rules)
-    sample = base_features(docs.sample(fraction=min(1.0, sample_rows / n), seed=seed), text_col).cache()
+    sample = docs.sample(fraction=min(1.0, sample_rows / n), seed=seed).select(F.coalesce(col(text_col), F.lit("")).alias("text")).repartition(1).cache()
     try:
-        f = Features(col(text_col))
-        said = {r.name: F.coalesce(r.rejects(f), F.lit(False)) for r in rules}
-        verdicts = [(tuple(row[:-1]), row[-1]) for row in sample.groupBy(*[c.alias(f"r{i}") for i, c in enumerate(said.values())]).count().collect()]
-        cost = {}
-        for r in rules:
-            began = time.perf_counter()
-            sample.agg(F.count_if(said[r.name])).collect()
-            cost[r.name] = max(time.perf_counter() - began, 1e-4)
+        asked = list(dict.fromkeys(f for r in rules for f in r.needs()))
+        said = with_features(sample, {f: f for f in asked}, "text").groupBy(*[F.coalesce(r.rejects(col), F.lit(False)).alias(f"r{i}") for i, r in enumerate(rules)])
+        verdicts = [(tuple(row[:-1]), row[-1]) for row in said.count().collect()]
+        cost = _timed(sample, [f for f in asked if f not in ready])
     finally:
         sample.unpersist()
-    order, left = [], list(range(len(rules)))
+    order, left, have = [], list(range(len(rules))), set(ready)
     while left:
-        alive = sum(c for _, c in verdicts) or 1
-        best = max(left, key=lambda i: (sum(c for v, c in verdicts if v[i]) / alive / cost[rules[i].name], -i))
+
+        def worth(i: int) -> tuple[float, int]:
+            # a condition on what is there already costs little, but not nothing
+            price = sum(cost[f] for f in rules[i].needs() if f not in have) + 1e-4
+            return sum(c for v, c in verdicts if v[i]) / price, -i
+
+        best = max(left, key=worth)
         verdicts = [(v, c) for v, c in verdicts if not v[best]]
+        have |= set(rules[best].needs())
         order.append(rules[best])
         left.remove(best)
     return order
 
 
-def cascade(featured: DataFrame, rules: Sequence[Rule], text_col: str = "text", out_col: str = "rejected_by") -> DataFrame:
-    """Adds the first of ``rules`` that rejects a document, null where none does."""
-    f = Features(col(text_col))
-    verdict = None
+def cascade(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", out_col: str = "rejected_by", ready: dict[str, str] | None = None) -> DataFrame:
+    """Adds the first of ``rules``, in their order, that rejects a document, null where none does.
+
+    Features that are not ``ready`` (name to column) are made step by step, for documents that no
+    rule before has rejected.
+    """
+    at = dict(ready or {})
+    own: list[str] = []
+    (verdict,) = fresh(docs, "quality_verdict")
+    out = docs.withColumn(verdict, F.lit(None).cast("string"))
     for r in rules:
-        verdict = (F if verdict is None else verdict).when(r.rejects(f), F.lit(r.name))
-    return featured.withColumn(out_col, F.lit(None).cast("string") if verdict is None else verdict)
+        new = [f for f in r.needs() if f not in at]
+        at |= dict(zip(new, fresh(out, *[f"quality_{f}" for f in new]), strict=True))
+        own += [at[f] for f in new]
+        alive = col(verdict).isNull()
+        out = with_features(out, {f: at[f] for f in new}, text_col, alive) if new else out
+        out = out.withColumn(verdict, F.when(~alive, col(verdict)).when(r.rejects(lambda f: col(at[f])), F.lit(r.name)))
+    found = col(verdict).alias(out_col)
+    return out.drop(*own).select(*[col(c) for c in docs.columns if c != out_col], found)
 
 
 def base_failed() -> Column:
@@ -162,22 +250,28 @@ def base_failed() -> Column:
 
 
 def judge(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` with the base features, ``base_failed`` and ``kept`` (passes base and cascade)."""
+    """``docs`` with the base features of every document, ``base_failed`` and ``kept`` (passes base and cascade)."""
     rules = default_rules() if rules is None else list(rules)
-    featured = base_features(docs, text_col)
-    ordered = order_rules(docs, rules, text_col, sample_rows)
-    out = cascade(featured.withColumn("base_failed", base_failed()), ordered, text_col)
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("rejected_by")
+    ready = {n: n for n in BASE}
+    ordered = order_rules(docs, rules, text_col, sample_rows, ready=BASE)
+    (verdict,) = fresh(docs, "quality_rejected_by")
+    featured = with_features(docs, ready, text_col).withColumn("base_failed", base_failed())
+    # a document that the base rules reject costs the cascade nothing
+    gate = Rule("base", lambda f: f("base_failed"))
+    out = cascade(featured, [gate, *ordered], text_col, verdict, {**ready, "base_failed": "base_failed"})
+    return out.withColumn("kept", col(verdict).isNull()).drop(verdict)
 
 
 def keep(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with their own columns, whatever their names."""
-    (row,) = fresh(docs, "quality_row")
+    """The rows of ``docs`` that ``judge`` keeps, with their own columns, whatever their names: base rules
+    and others in one cascade, by rejections per cost."""
+    rules = [*base_rules(), *(default_rules() if rules is None else rules)]
+    row, kept = fresh(docs, "quality_row", "quality_kept")
     whole = docs.select(F.struct(*[col(c) for c in docs.columns]).alias(row), col(text_col).alias("text"))
-    judged = judge(whole, "text", rules, sample_rows)
-    # a filter on ``kept`` would be pushed below the steps it is made of and repeat them inside the
+    judged = cascade(whole, order_rules(docs, rules, text_col, sample_rows), "text", kept)
+    # a filter on the verdict would be pushed below the steps it is made of and repeat them inside the
     # lambdas, once a word; no row is generated from a null, which has the same effect up here
-    return judged.select(row, F.explode(F.when(F.col("kept"), F.array(F.lit(True)))).alias("kept")).select(f"{row}.*")
+    return judged.select(row, F.explode(F.when(col(kept).isNull(), F.array(F.lit(True)))).alias("kept")).select(f"{row}.*")
 
 
 ORACLE = """

@@ -107,6 +107,10 @@ def test_digest_chunks_and_brute_force(monkeypatch):
     assert (digest.bucket_counts(texts) == np.array([brute(t) for t in texts])).all()
 
 
+def rows_of(df, *cols):
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=str)
+
+
 def test_quality_features_and_cascade(docs, rows, empty):
     got = {(r["doc_id"], r["text"]): r for r in quality.judge(docs).collect()}
     assert quality.judge(docs).count() == len(rows)
@@ -133,9 +137,31 @@ def test_quality_features_and_cascade(docs, rows, empty):
 def test_rules_are_ordered_by_rejection_per_cost(spark):
     df = spark.createDataFrame([(i, "w " * 60) for i in range(200)], "doc_id long, text string")
     never = quality.Rule("never", lambda f: F.lit(False))
-    half = quality.Rule("half", lambda f: F.col("n_words") < 0)
-    always = quality.Rule("always", lambda f: F.col("n_words") > 0)
-    assert quality.order_rules(df, [never, half, always])[0].name == "always"
+    none = quality.Rule("none", lambda f: f("n_words") < 0)
+    always = quality.Rule("always", lambda f: f("n_words") > 0)
+    costly = quality.Rule("costly", lambda f: f("n_repeat_words") > 0)
+    found = [[r.name for r in quality.order_rules(df, [never, none, costly, always])] for _ in range(2)]
+    # both reject all; the cheap one goes first, and the rest, which then reject nothing, as given
+    assert found[0] == found[1] == ["always", "never", "none", "costly"]
+    assert [r.name for r in quality.order_rules(df, [costly, always], ready=["n_repeat_words", "n_words"])] == ["costly", "always"]
+
+
+def test_a_cascade_makes_no_feature_for_what_is_rejected(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a b"), (2, "a b c d")], "doc_id long, text string")
+    bomb = quality.Feature([("n", lambda get: F.when(F.char_length(get("text")) < 5, F.raise_error(F.lit("made"))).otherwise(F.char_length(get("text"))).cast("long"))])
+    monkeypatch.setitem(quality.FEATURES, "bomb", bomb)
+    few = quality.Rule("few", lambda f: f("n_words") < 3)
+    loud = quality.Rule("loud", lambda f: f("bomb") > 100)
+    assert rows_of(quality.cascade(df, [few, loud]), "doc_id", "rejected_by") == [(1, "few"), (2, None)]
+    with pytest.raises(Exception, match="made"):
+        quality.cascade(df, [loud, few]).collect()
+
+
+def test_judge_keeps_columns_of_helpers_names(spark):
+    df = spark.createDataFrame([(1, "w " * 60, "mine", "own")], "doc_id long, text string, rejected_by string, quality_words string")
+    got = quality.judge(df).first()
+    assert (got["rejected_by"], got["quality_words"]) == ("mine", "own")
+    assert quality.keep(df, rules=[]).columns == df.columns
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"])
