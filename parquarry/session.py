@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,6 +22,12 @@ def get_spark(app: str = "parquarry", **conf: str) -> SparkSession:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir; where that is unset (one machine), in a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="parquarry-")
+    """A new path in spark.checkpoint.dir, or in the checkpoint directory that was set; without either in
+    a temporary folder on one machine, and an error on a cluster, whose executors share no such folder."""
+    set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or (set_.get() if set_.isDefined() else None)
+    if base is None:
+        if re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master) is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="parquarry-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
