@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,17 +31,35 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one on one
+    machine (tests); on a cluster an error, as executors share no folder of the driver's."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
         jsc = spark.sparkContext._jsc.sc()
         where = jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None
     if where is None:
+        if re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master) is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="parquarry-")
         spark.sparkContext.setCheckpointDir(where)
     return where
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared folder; its lineage ends there."""
     spark = df.sparkSession
@@ -50,10 +69,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read back."""
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as a Parquet table and read back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

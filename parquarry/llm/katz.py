@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parquarry.llm._common import bounded_batches, col, release, shuffle_partitions, written
+from parquarry.llm._common import bounded_batches, col, release, shuffle_partitions, temporary, written
 
 CHUNK = 2_000_000
 MAX_K = 5
@@ -307,7 +307,7 @@ def train_and_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(n, "place").sortWithinPartitions("place", "kind", "chunk", "part")
 
-    counted = written(dealt(rows.mapInArrow(cut, ROW)).mapInArrow(tally, ROW), "katz-counts")
+    counted = written(dealt(rows.mapInArrow(cut, ROW)).mapInArrow(tally, ROW), temporary(spark, "katz-counts"))
     release(spark)
     stats: dict[int, list[int]] = {}
     # a row of MAX_K + 3 numbers for each of the n partitions and level

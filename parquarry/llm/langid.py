@@ -246,9 +246,9 @@ def usual(model: Model, labelled: DataFrame, id_col: str = "doc_id", text_col: s
     return Usual(middle, between, np.sqrt(np.maximum(spread, 0)))
 
 
-def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = MIN_SCORE, deviations: float = MAX_DEVIATIONS) -> DataFrame:
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = MIN_SCORE, deviations: float = MAX_DEVIATIONS, fill: bool = False) -> DataFrame:
     """``docs`` whose text has a language, by a model of their own labels; without any label, all that
-    have a letter.
+    have a letter. With ``fill`` a null ``lang_col`` becomes the language found.
 
     The posterior tells languages apart but is near 1 for any long text, also of none of them; so the
     mean log-probability of the text's n-grams must besides be one that labelled texts of the language have.
@@ -258,7 +258,7 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
         return docs.where(F.coalesce(col(text_col), F.lit("")).rlike(r"\p{L}"))
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model, usual(model, docs, id_col, text_col, lang_col)))
-    at = docs.columns.index(text_col)
+    at, label = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only(("langid",), lambda: None)
@@ -271,6 +271,9 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
             mean, n = means(m, texts)
             lowest = known.lowest(np.array(best, np.int64), n, deviations)
             ok = np.array([x != UNKNOWN for x in langs], bool) & (np.array(scores) >= min_score) & ~(mean < lowest)
+            if fill:
+                named = b.column(label).to_pylist()
+                b = b.set_column(label, b.schema.field(label), pa.array([y if x is None else x for x, y in zip(named, langs, strict=True)], b.schema.field(label).type))
             yield b.filter(pa.array(ok))
 
     return docs.mapInArrow(run, docs.schema)

@@ -7,13 +7,15 @@ times. All queues are merged by virtual finish time and cut where the words take
 budget, which leaves every source within one document of its target.
 
 Nothing here is ordered in one task: a source is split by hash range into blocks whose sums are
-prefixed on their own, and the cut is found by counting words in bins of virtual time and ordering
-only the bin in which the budget runs out.
+prefixed on their own; the merged queue is partitioned by ranges of virtual finish time, ranges of
+about as many rows each, their words are summed and prefixed, and only the range in which the budget
+runs out is added up row by row. ``mix`` gives the documents sorted by virtual finish time.
 
 Edge cases. Null or empty text: size 0, never taken. Null source: a source of its own, ordered
-last. Null or repeated ids: rows of different text stay apart; rows
-equal in id, source and text are taken together, as often each. Empty table: no rows.
-Only the id, source and text columns are read; others pass through ``mix`` untouched.
+last. Null or repeated ids: rows of different text stay apart; rows equal in id, source and text are
+taken together, as often each (so the mix may miss a target by such a group). Empty table: no rows.
+Only the id, source and text columns are read; others pass through ``mix`` untouched, whatever they
+are called.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parquarry.llm._common import WORD_PATTERN, checkpointed, col, fresh
+from parquarry.llm._common import WORD_PATTERN, checkpointed, col, fresh, shuffle_partitions
 
 WEIGHTS = (5, 2, 1)
-#: Rows a block of one source holds on average: what one task orders at once.
+#: Rows a block of one source holds on average at most: what one task orders at once. Smaller tables get
+#: smaller blocks, so that all tasks have some.
 BLOCK_ROWS = 50_000
 
 
@@ -66,7 +69,7 @@ def _before(df: DataFrame, keys: list[str], order: list[Column], value: str) ->
     return F.coalesce(F.sum(value).over(over), F.lit(0).cast("long"))
 
 
-def virtual_times(docs: DataFrame, id_col: str, source_col: str, text_col: str, *, share: float = 1.5, max_repeats: int = 2, weights: Sequence[float] = WEIGHTS, seed: int = 42, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def virtual_times(docs: DataFrame, id_col: str, source_col: str, text_col: str, *, share: float = 1.5, max_repeats: int = 2, weights: Sequence[float] = WEIGHTS, seed: int = 42, block_rows: int | None = None) -> DataFrame:
     """One row for each set of equal documents: ``doc_id, source, size, n_equal, source_size, target, done``, ...
 
     ``done`` is the source's cumulative words through this document on the first pass; on pass p
@@ -76,7 +79,7 @@ def virtual_times(docs: DataFrame, id_col: str, source_col: str, text_col: str,
         col(id_col).alias("doc_id"),
         col(source_col).alias("source"),
         word_count(col(text_col)).alias("size"),
-        F.xxhash64(col(id_col), F.lit(seed)).alias("tie"),
+        F.xxhash64(col(id_col), col(text_col), F.lit(seed)).alias("tie"),
         F.xxhash64(col(text_col)).alias("tie2"),
     )
     # read three times below: counted once, as equal rows together
@@ -86,6 +89,8 @@ def virtual_times(docs: DataFrame, id_col: str, source_col: str, text_col: str,
     # one row a source; the planner broadcasts it only if its size allows, else AQE splits hot sources
     per_source = per_source.drop("source_size").withColumnRenamed("source", "s2").join(targets, F.col("s2").eqNullSafe(F.col("source"))).drop("s2").withColumnRenamed("source", "s3")
     rows = rows.join(per_source, F.col("source").eqNullSafe(F.col("s3"))).drop("s3", "weight")
+    if block_rows is None:
+        block_rows = max(1, min(BLOCK_ROWS, rows.count() // (2 * shuffle_partitions(docs.sparkSession))))
     blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n_rows") / F.lit(block_rows)))
     # the block is the leading part of the order, so blocks follow one another in it
     u = F.shiftrightunsigned(F.col("tie"), 33)  # 31 bits, uniform
@@ -105,46 +110,57 @@ def _passes(times: DataFrame, max_repeats: int) -> DataFrame:
     return again.withColumn("finish", (F.col("p") * F.col("source_size") + F.col("done")) / F.col("target"))
 
 
-def cut_point(times: DataFrame, share: float = 1.5, max_repeats: int = 2, bin_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row (``cut``): the last place of the merged queue, in (finish, tie, ...), within budget.
+def cut_point(times: DataFrame, share: float = 1.5, max_repeats: int = 2, partitions: int | None = None) -> DataFrame:
+    """One row (``cut``): the last place of the merged queue, in (finish, tie, ...), within budget; null if none is.
 
-    Words are counted in bins of virtual time; the bins' sums are prefixed, and only the bin in
-    which the budget runs out is ordered. Bins are as fine as the input is long.
+    The queue is range-partitioned by place; only the partition in which the budget runs out is added up
+    row by row.
     """
-    items = _passes(times, max_repeats)
-    n = times.agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("n")).select((F.lit(float(share)) * F.col("words")).alias("budget"), F.greatest(F.lit(1.0), F.col("n") * max_repeats / F.lit(bin_rows)).alias("bins"))
-    binned = items.crossJoin(F.broadcast(n)).withColumn("bin", F.floor(F.col("finish") * F.col("bins")).cast("long"))  # n is one row
-    per_bin = binned.groupBy("bin", "budget").agg(F.sum("words").alias("bin_size"))
-    per_bin = per_bin.withColumn("below", F.coalesce(F.sum("bin_size").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
-    last = per_bin.where(F.col("below") <= F.col("budget")).agg(F.max(F.struct("bin", "below")).alias("m")).select(F.col("m.bin").alias("last_bin"), F.col("m.below").alias("below"))
-    place = F.struct("finish", "tie", "doc_id", "tie2", "p")
-    edge = binned.join(F.broadcast(last), F.col("bin") == F.col("last_bin"))  # last is one row
-    edge = edge.withColumn("through", F.col("below") + F.sum("words").over(Window.orderBy(place).rowsBetween(Window.unboundedPreceding, 0)))
-    # the bin's own documents may all lie beyond the budget: then the cut is where the bin begins
-    kept = edge.where(F.col("through") <= F.col("budget")).agg(F.max(place).alias("cut"))
-    return kept.crossJoin(F.broadcast(last)).crossJoin(F.broadcast(n)).select("cut", (F.col("last_bin") / F.col("bins")).alias("floor_time"))
-
-
-def mix_counts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", *, share: float = 1.5, max_repeats: int = 2, weights: Sequence[float] = WEIGHTS, seed: int = 42, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    place = ["finish", "tie", "doc_id", "tie2", "p"]
+    n = partitions or shuffle_partitions(times.sparkSession)
+    items = _passes(times, max_repeats).select(*place, "words").repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in place])
+    items = checkpointed(items.withColumn("part", F.spark_partition_id()))  # ranges are drawn: they must not be drawn twice
+    budget = times.agg((F.lit(float(share)) * F.sum("words")).alias("budget"))
+    # one row a partition
+    parts = items.groupBy("part").agg(F.sum("words").alias("part_size"), F.max(F.struct(*place)).alias("last"))
+    parts = parts.withColumn("below", F.coalesce(F.sum("part_size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
+    parts = parts.crossJoin(F.broadcast(budget))  # one row
+    whole = parts.where(F.col("below") + F.col("part_size") <= F.col("budget")).agg(F.max("last").alias("cut"))
+    edge = parts.where((F.col("below") <= F.col("budget")) & (F.col("below") + F.col("part_size") > F.col("budget"))).select("part", "below", "budget")
+    # at most one partition holds the edge
+    edge = items.join(F.broadcast(edge), "part").withColumn("through", F.col("below") + F.sum("words").over(Window.partitionBy("part").orderBy(*[F.col(c).asc_nulls_first() for c in place]).rowsBetween(Window.unboundedPreceding, 0)))
+    within = edge.where(F.col("through") <= F.col("budget")).agg(F.max(F.struct(*place)).alias("cut"))
+    return whole.unionByName(within).agg(F.max("cut").alias("cut"))
+
+
+def _place(p: int) -> Column:
+    """A row's place in the merged queue on pass ``p``."""
+    finish = (F.lit(p) * F.col("source_size") + F.col("done")) / F.col("target")
+    return F.struct(finish.alias("finish"), F.col("tie"), F.col("doc_id"), F.col("tie2"), F.lit(p).alias("p"))
+
+
+def _taken(docs: DataFrame, id_col: str, source_col: str, text_col: str, *, share: float = 1.5, max_repeats: int = 2, weights: Sequence[float] = WEIGHTS, seed: int = 42, block_rows: int | None = None) -> DataFrame:
+    """``virtual_times`` plus ``places``: those of each pass on which a document is taken."""
+    times = virtual_times(docs, id_col, source_col, text_col, share=share, max_repeats=max_repeats, weights=weights, seed=seed, block_rows=block_rows)
+    out = times.crossJoin(F.broadcast(cut_point(times, share, max_repeats)))  # cut is one row
+    some = (F.col("size") > 0) & (F.col("target") > 0) & F.col("cut").isNotNull()
+    # the target is 0 only where the size is
+    places = F.when(some, F.array(*[F.when(_place(p) <= F.col("cut"), _place(p)) for p in range(max_repeats)]))
+    return out.withColumn("places", F.coalesce(F.array_compact(places), F.array())).drop("cut")
+
+
+def mix_counts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
     """Per set of ``n_equal`` equal documents: ``source, size, source_size, target, tie2, copies`` and
     the words ``taken`` of each of them. Documents equal in id, source and text are taken together."""
-    times = virtual_times(docs, id_col, source_col, text_col, share=share, max_repeats=max_repeats, weights=weights, seed=seed, block_rows=block_rows)
-    cut = cut_point(times, share, max_repeats, block_rows)
-    out = times.crossJoin(F.broadcast(cut))  # cut is one row
-    copies = F.lit(0)
-    for p in range(max_repeats):
-        finish = (F.lit(p) * F.col("source_size") + F.col("done")) / F.col("target")
-        place = F.struct(finish.alias("finish"), F.col("tie"), F.col("doc_id"), F.col("tie2"), F.lit(p).alias("p"))
-        inside = F.when(F.col("cut").isNotNull(), place <= F.col("cut")).otherwise(finish < F.col("floor_time"))
-        copies = copies + F.when((F.col("size") > 0) & (F.col("target") > 0) & inside, 1).otherwise(0)
-    return out.withColumn("copies", copies).select("doc_id", "source", "size", "n_equal", "source_size", "target", "tie2", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    out = _taken(docs, id_col, source_col, text_col, **how).withColumn("copies", F.size("places"))
+    return out.select("doc_id", "source", "size", "n_equal", "source_size", "target", "tie2", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **how) -> DataFrame:
-    """The mix itself: ``docs``' columns, each document as often as it is taken."""
-    counts = mix_counts(docs, id_col, source_col, text_col, **how)
-    i, s, t, m = fresh(docs, "mix_id", "mix_source", "mix_text", "mix_copies")
-    counts = counts.where(F.col("copies") > 0).select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("tie2").alias(t), F.col("copies").alias(m))
+    """The mix itself: ``docs``' columns, each document as often as it is taken, sorted by virtual finish time."""
+    i, s, t, at = fresh(docs, "mix_id", "mix_source", "mix_text", "mix_place")
+    places = F.transform("places", lambda x: F.struct(x["finish"], x["tie"], x["p"]))
+    taken = _taken(docs, id_col, source_col, text_col, **how).where(F.size("places") > 0).select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("tie2").alias(t), places.alias(at))
     same = col(id_col).eqNullSafe(F.col(i)) & col(source_col).eqNullSafe(F.col(s)) & (F.xxhash64(col(text_col)) == F.col(t))
-    hit = docs.join(counts, same)
-    return hit.select(*[col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(m))).alias(i)).drop(i)
+    hit = docs.join(taken, same).select(*[col(c) for c in docs.columns], F.explode(at).alias(at))
+    return hit.orderBy(at).drop(at)

@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parquarry.llm._common import bounded_batches, checkpointed, col, fresh, only, shuffle_partitions, unsigned_hex
+from parquarry.llm import overlap
+from parquarry.llm._common import bounded_batches, checkpointed, col, fresh, only, remove, shuffle_partitions, temporary, unsigned_hex, written
 from parquarry.llm.components import components
 
 WORDS, BITS, SEED = 4, 4, 42
@@ -219,16 +220,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of, "simhash").select("doc_id", "simhash", unsigned_hex(F.col("simhash")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, max_bits: int = BITS) -> DataFrame:
-    """``docs`` without near copies: of each component the row of the smallest id stays.
+def near_texts(texts: DataFrame, width: int = overlap.WORDS, max_bits: int = BITS) -> DataFrame:
+    """``u, v``: links that connect all of ``texts`` (long ``node``, distinct; binary ``text``) that share
+    ``overlap.SHARE`` of their ``width``-word shingles.
 
-    Null ids come after all others; rows of the same id go by their text's hash, and of rows equal
-    in both one stays.
+    Fingerprints within ``max_bits`` come from the index and their texts are compared; that joins most
+    groups. But texts of that similarity may differ in more bits than byte positions can guarantee (about
+    10 of 64 on average at 0.8), so ``overlap`` finds, exactly, what connections are still missing.
     """
-    rows, of = _found(docs, id_col, text_col, width, max_bits)
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("hash"))
-    best = rows.groupBy("simhash").agg(F.min(place).alias("p")).join(of, "simhash").groupBy("component").agg(F.min("p").alias("p"))
-    names = fresh(docs, "kept_no_id", "kept_id", "kept_hash")
-    best = best.select(*[F.col(f"p.{f}").alias(n) for f, n in zip(("no_id", "id", "hash"), names, strict=True)])
-    keyed = docs.withColumns({names[0]: col(id_col).isNull(), names[1]: F.coalesce(col(id_col), F.lit(0)), names[2]: F.xxhash64(col(text_col))})
+    prints = checkpointed(fingerprints(texts, "text", width, keep=["node"]))
+    first = checkpointed(prints.groupBy("simhash").agg(F.min("node").alias("u")))
+    same = prints.join(first, "simhash").where(F.col("node") != F.col("u")).select("u", F.col("node").alias("v"))
+    met = links(first.select("simhash"), max_bits).withColumnsRenamed({"u": "a", "v": "b"})
+    for end, name in (("a", "u"), ("b", "v")):
+        met = met.join(first.select(F.col("simhash").alias(end), F.col("u").alias(name)), end)
+    candidates = checkpointed(same.unionByName(met.select("u", "v")).distinct())
+    return overlap.links(texts, overlap.verified(candidates, texts, width), width)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = overlap.WORDS, max_bits: int = BITS) -> DataFrame:
+    """``docs`` without near copies (``near_texts``): of each group of connected ones the row of the
+    smallest id stays.
+
+    Null ids come after all others; rows of the same id go by their text's hash, and of rows equal in
+    both one stays.
+    """
+    bounded_batches(docs.sparkSession)
+    text = F.coalesce(col(text_col), F.lit(""))
+    names = fresh(docs, "kept_no_id", "kept_id", "kept_node")
+    place = [col(id_col).isNull(), F.coalesce(col(id_col), F.lit(0)), F.xxhash64(text)]
+    rows = checkpointed(docs.select(*[c.alias(x) for c, x in zip(place, ("no_id", "id", "node"), strict=True)]))
+    path = temporary(docs.sparkSession, "texts")
+    texts = written(docs.select(F.xxhash64(text).alias("node"), text.cast("binary").alias("text")).dropDuplicates(["node"]), path)
+    of = components(near_texts(texts, width, max_bits))
+    remove(docs.sparkSession, path)  # components are checkpointed
+    best = rows.groupBy("node").agg(F.min(F.struct("no_id", "id", "node")).alias("p")).join(of, "node", "left")
+    best = best.groupBy(F.coalesce("component", "node")).agg(F.min("p").alias("p"))
+    best = best.select(*[F.col(f"p.{f}").alias(x) for f, x in zip(("no_id", "id", "node"), names, strict=True)])
+    keyed = docs.withColumns(dict(zip(names, place, strict=True)))
     return keyed.join(best, names).dropDuplicates(names).select(*[col(c) for c in docs.columns])

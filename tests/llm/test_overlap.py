@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from parquarry.llm import overlap
+from parquarry.llm import overlap, simhash
 
 
 def grams(t):
@@ -67,4 +67,4 @@ def test_order_of_shingles_changes_no_result(spark, rows, monkeypatch):
     monkeypatch.setattr(overlap, "SAMPLE", 10)
     monkeypatch.setattr(overlap, "COLUMNS", 1 << 6)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert sorted((x["doc_id"] for x in overlap.keep_one(docs).collect()), key=str) == sorted(survivors(rows), key=str)
+    assert sorted((x["doc_id"] for x in simhash.keep_one(docs).collect()), key=str) == sorted(survivors(rows), key=str)
