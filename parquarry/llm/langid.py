@@ -106,20 +106,32 @@ class Model:
         self.any = np.logaddexp.reduce(weights, axis=0) - np.log(len(languages)) if languages else np.zeros(weights.shape[1])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The likeliest language of each text and its posterior probability."""
+        langs, scores, *_ = self.judge(texts)
+        return langs, scores
+
+    def judge(self, texts: list[str | None], usual: bool = False) -> tuple[list[str], list[float], np.ndarray, np.ndarray]:
+        """``predict`` and, if ``usual``, the mean log-probability of each text's n-grams in all languages
+        together (a text that mixes known languages is as likely as others), and their number."""
         n, k = len(texts), len(self.languages)
         norm = [normalise(t) if t else "" for t in texts]
+        mean, many = np.zeros(n), np.zeros(n, np.int64)
         if not k:
-            return [UNKNOWN] * n, [0.0] * n
+            return [UNKNOWN] * n, [0.0] * n, mean, many
         total = np.tile(self.priors, (n, 1))
         for columns, owner in grams(norm, len(self.by_column)):
             w = self.by_column[columns]
             for j in range(k):
                 total[:, j] += np.bincount(owner, weights=w[:, j], minlength=n)
+            if usual:
+                mean += np.bincount(owner, weights=self.any[columns], minlength=n)
+                many += np.bincount(owner, minlength=n)
         best = total.argmax(axis=1)
         share = np.exp(total - total.max(axis=1, keepdims=True))
         score = 1.0 / share.sum(axis=1)
         known = [bool(t) for t in norm]
-        return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)], [float(s) if ok else 0.0 for s, ok in zip(score, known, strict=True)]
+        langs = [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)]
+        return langs, [float(s) if ok else 0.0 for s, ok in zip(score, known, strict=True)], mean / np.maximum(many, 1), many
 
 
 def _drawn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int, seed: int) -> tuple[DataFrame, dict[str, int]]:
@@ -197,7 +209,7 @@ OVERLAP = 5.0
 
 @dataclass(frozen=True)
 class Usual:
-    """Per language the mean log-probability of an n-gram (as in ``means``) in a usual text, the median;
+    """Per language the mean log-probability of an n-gram (as in ``Model.judge``) in a usual text, the median;
     how far texts lie below it, from the lower quartile; and how far n-grams do. nan without texts."""
 
     middle: np.ndarray
@@ -209,16 +221,6 @@ class Usual:
         return self.middle[lang] - deviations * np.sqrt(self.between[lang] ** 2 + self.within[lang] ** 2 * OVERLAP / np.maximum(n, 1))
 
 
-def means(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Mean log-probability of each text's n-grams in all languages together, and their number: a text
-    that mixes known languages is as likely as others."""
-    total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-    for columns, owner in grams([normalise(t) if t else "" for t in texts], len(model.by_column)):
-        total += np.bincount(owner, weights=model.any[columns], minlength=len(texts))
-        n += np.bincount(owner, minlength=len(texts))
-    return total / np.maximum(n, 1), n
-
-
 def usual(model: Model, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, seed: int = 11) -> Usual:
     """What labelled texts show, about ``max_docs`` of each language (those of ``train``); medians, so that
     some wrongly labelled texts among them do not count."""
@@ -231,7 +233,7 @@ def usual(model: Model, labelled: DataFrame, id_col: str = "doc_id", text_col: s
         m = only(("langid",), lambda: None) or shared.value
         for b in batches:
             langs = [number[x] for x in b.column(0).to_pylist()]
-            mean, n = means(m, b.column(1).to_pylist())
+            *_, mean, n = m.judge(b.column(1).to_pylist(), usual=True)
             ok = n > 0
             yield pa.RecordBatch.from_arrays([pa.array(np.array(langs, np.int32)[ok]), pa.array(mean[ok])], names=["lang", "mean"])
 
@@ -266,9 +268,8 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
         place = {x: i for i, x in enumerate(m.languages)}
         for b in batches:
             texts = b.column(at).to_pylist()
-            langs, scores = m.predict(texts)
+            langs, scores, mean, n = m.judge(texts, usual=True)
             best = [place.get(x, 0) for x in langs]
-            mean, n = means(m, texts)
             lowest = known.lowest(np.array(best, np.int64), n, deviations)
             ok = np.array([x != UNKNOWN for x in langs], bool) & (np.array(scores) >= min_score) & ~(mean < lowest)
             if fill:

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parquarry.llm._common import SPACE_CLASS, WORD_PATTERN, col, fresh
+from parquarry.llm._common import SPACE_CLASS, col, fresh
 
 #: Symbols that mark leftovers of markup and tables. A fixed value.
 SYMBOLS = "#*$%&|<>"
@@ -67,19 +67,33 @@ def count_of(chars: str) -> Feature:
     return Feature([("n", lambda get: F.regexp_count(get("text"), F.lit(f"[{chars}]")).cast("long"))])
 
 
+def _words(get: Get) -> Column:
+    return F.filter(F.split(get("text"), SPACE_CLASS + "+"), lambda w: w != "")
+
+
 def _windows(get: Get) -> Column:
-    """The three-word windows as (64-bit hash, place), sorted, so that equal ones meet; never quadratic.
-    Within a text of n words two windows differ under one hash in n^2 / 2^65."""
-    words = get("words")
-    n = F.greatest(F.size(words) - 2, F.lit(0))
-    trip = F.arrays_zip(F.slice(words, 1, n).alias("a"), F.slice(words, 2, n).alias("b"), F.slice(words, 3, n).alias("c"))
-    made = F.transform(trip, lambda w, i: F.struct(F.xxhash64(w["a"], w["b"], w["c"]).alias("h"), i.alias("i")))
-    return F.sort_array(F.when(n > 0, made).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    """Hashes of the three-word windows, from 64-bit hashes of the words. Within a text of n words two
+    differ under one hash in about n^2 / 2^64."""
+    h = get("hashes")
+    return F.transform(F.slice(h, 1, F.greatest(F.size(h) - 2, F.lit(0))), lambda a, i: F.xxhash64(a, F.get(h, i + 1), F.get(h, i + 2)))
+
+
+def _sorted(get: Get) -> Column:
+    """(window, place) in order, so that equal ones meet; none where all windows differ. Never quadratic."""
+    w = get("windows")
+    made = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(w)) < F.size(w), made).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
+
+
+def _same(get: Get) -> Column:
+    """Whether a window equals the next one in order."""
+    w = get("sorted")
+    return F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False)))
 
 
 def _repeated_places(get: Get) -> Column:
     """Places of windows that equal a neighbour in their order, ascending."""
-    w, same = get("windows"), get("same")
+    w, same = get("sorted"), get("same")
     m = F.size(w)
     pairs = F.zip_with(w, same, lambda a, b: F.struct(a["i"].alias("i"), b.alias("n")))
     hit = F.zip_with(pairs, F.concat(F.array(F.lit(False)), F.slice(same, 1, F.greatest(m - 1, F.lit(0)))), lambda a, b: F.when(a["n"] | b, a["i"]))
@@ -99,10 +113,10 @@ def _lines(get: Get) -> Column:
 
 
 #: What rules may ask for. Each step is a column of its own, so that the next one's lambdas read it
-#: rather than make it anew for every element.
+#: rather than make it anew for every element; steps of one name are made once.
 FEATURES: dict[str, Feature] = {
-    "n_words": Feature([("n", lambda get: F.regexp_count(get("text"), F.lit(WORD_PATTERN)).cast("long"))]),
-    "word_chars": Feature([("n", lambda get: (F.char_length(get("text")) - F.regexp_count(get("text"), F.lit(SPACE_CLASS))).cast("long"))]),
+    "n_words": Feature([("words", _words), ("n", lambda get: F.size(get("words")).cast("long"))]),
+    "word_chars": Feature([("words", _words), ("n", lambda get: F.char_length(F.array_join(get("words"), "")).cast("long"))]),
     "n_symbols": count_of(SYMBOLS),
     "n_capitals": count_of("A-Z"),
     "n_digits": count_of("0-9"),
@@ -111,9 +125,11 @@ FEATURES: dict[str, Feature] = {
     "n_dup_lines": Feature([("lines", _lines), ("n", lambda get: (F.size(get("lines")) - F.size(F.array_distinct(get("lines")))).cast("long"))]),
     "n_repeat_words": Feature(
         [
-            ("words", lambda get: F.filter(F.split(get("text"), SPACE_CLASS + "+"), lambda w: w != "")),
+            ("words", _words),
+            ("hashes", lambda get: F.transform(get("words"), lambda w: F.xxhash64(w))),
             ("windows", _windows),
-            ("same", lambda get: F.zip_with(get("windows"), F.slice(get("windows"), 2, F.greatest(F.size(get("windows")), F.lit(1))), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False)))),
+            ("sorted", _sorted),
+            ("same", _same),
             ("places", _repeated_places),
             ("n", _covered),
         ]
@@ -123,11 +139,9 @@ FEATURES: dict[str, Feature] = {
 BASE = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
-def with_features(docs: DataFrame, names: dict[str, str], text: str, only_if: Column | None = None) -> DataFrame:
-    """``docs`` plus features (name to column's name) of the column ``text``, null where ``only_if`` does
-    not hold. Columns of the given names are replaced; helpers are dropped."""
+def _with_features(docs: DataFrame, names: dict[str, str], text: str, helpers: dict[str, str], only_if: Column | None = None) -> DataFrame:
+    """``with_features`` that leaves its helpers, and takes those of ``helpers`` (step to column) as made."""
     out = docs
-    helpers: dict[str, str] = {}
     taken = {c.lower() for c in (*docs.columns, *names.values())}
     todo = {n: list(FEATURES[n].steps) for n in names}
     while any(todo.values()):
@@ -137,7 +151,7 @@ def with_features(docs: DataFrame, names: dict[str, str], text: str, only_if: Co
                 continue
             step, build = steps.pop(0)
             if steps and step in helpers:
-                continue  # another feature has it
+                continue
             at = names[n]
             if steps:
                 at = f"quality_{step}"
@@ -147,8 +161,15 @@ def with_features(docs: DataFrame, names: dict[str, str], text: str, only_if: Co
                 helpers[step] = at
             value = build(lambda x: F.coalesce(col(text), F.lit("")) if x == "text" else col(helpers[x]))
             made[at] = value if only_if is None else F.when(only_if, value)
-        out = out.withColumns(made)
-    return out.drop(*helpers.values())
+        out = out.withColumns(made) if made else out
+    return out
+
+
+def with_features(docs: DataFrame, names: dict[str, str], text: str) -> DataFrame:
+    """``docs`` plus features (name to column's name) of the column ``text``. Columns of the given names
+    are replaced."""
+    helpers: dict[str, str] = {}
+    return _with_features(docs, names, text, helpers).drop(*helpers.values())
 
 
 def base_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -173,22 +194,32 @@ def default_rules() -> list[Rule]:
     ]
 
 
+def _shared(feature: str) -> list[str]:
+    """Steps of a feature that other features have too."""
+    return [step for step, _ in FEATURES[feature].steps[:-1] if any(step == s for f, x in FEATURES.items() if f != feature for s, _ in x.steps[:-1])]
+
+
 def _timed(sample: DataFrame, features: Sequence[str]) -> dict[str, float]:
-    """Seconds that each feature takes on the sample (one partition, cached), as powers of two."""
+    """Seconds that each feature takes on the sample (one partition, cached), as powers of two; steps that
+    features share stand for themselves, and a feature's own is what it takes besides."""
     size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 1
     again = sample.select("text", F.explode(F.sequence(F.lit(1), F.lit(max(1, min(4096, -(-TIMED_BYTES // size)))))).alias("again"))
 
-    def seconds(names: dict[str, str]) -> float:
-        made = with_features(again, names, "text").agg(F.sum(F.octet_length("text")), *[F.sum(n) for n in names.values()])
+    def seconds(made: DataFrame, *of: Column) -> float:
         best = math.inf
         for _ in range(2):  # the first run compiles
             began = time.perf_counter()
-            made.collect()
+            made.agg(F.sum(F.octet_length("text")), *of).collect()
             best = min(best, time.perf_counter() - began)
         return best
 
-    nothing = min(seconds({}) for _ in range(2))
-    return {f: 2.0 ** round(math.log2(max(seconds({f: "feature"}) - nothing, 1e-3))) for f in features}
+    nothing = min(seconds(again) for _ in range(2))
+    cost: dict[str, float] = {}
+    for step, build in {s: b for f in features for s, b in FEATURES[f].steps[:-1] if s in _shared(f)}.items():
+        cost[step] = seconds(again.withColumn("step", build(lambda _: F.col("text"))), F.sum(F.size("step"))) - nothing
+    for f in features:
+        cost[f] = seconds(with_features(again, {f: "feature"}, "text"), F.sum("feature")) - nothing - sum(cost[s] for s in _shared(f))
+    return {f: 2.0 ** round(math.log2(max(c, 1e-3))) for f, c in cost.items()}
 
 
 def order_rules(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS, seed: int = 7, ready: Sequence[str] = ()) -> list[Rule]:
@@ -209,16 +240,17 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text",
     finally:
         sample.unpersist()
     order, left, have = [], list(range(len(rules))), set(ready)
+    parts = [{x for f in r.needs() if f not in ready for x in (f, *_shared(f))} for r in rules]
     while left:
 
         def worth(i: int) -> tuple[float, int]:
             # a condition on what is there already costs little, but not nothing
-            price = sum(cost[f] for f in rules[i].needs() if f not in have) + 1e-4
+            price = sum(cost[x] for x in parts[i] - have) + 1e-4
             return sum(c for v, c in verdicts if v[i]) / price, -i
 
         best = max(left, key=worth)
         verdicts = [(v, c) for v, c in verdicts if not v[best]]
-        have |= set(rules[best].needs())
+        have |= parts[best]
         order.append(rules[best])
         left.remove(best)
     return order
@@ -231,18 +263,18 @@ def cascade(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", out_
     rule before has rejected.
     """
     at = dict(ready or {})
-    own: list[str] = []
+    helpers: dict[str, str] = {}
     (verdict,) = fresh(docs, "quality_verdict")
     out = docs.withColumn(verdict, F.lit(None).cast("string"))
     for r in rules:
         new = [f for f in r.needs() if f not in at]
         at |= dict(zip(new, fresh(out, *[f"quality_{f}" for f in new]), strict=True))
-        own += [at[f] for f in new]
         alive = col(verdict).isNull()
-        out = with_features(out, {f: at[f] for f in new}, text_col, alive) if new else out
+        # what is made for those alive now is there for the fewer alive later
+        out = _with_features(out, {f: at[f] for f in new}, text_col, helpers, alive) if new else out
         out = out.withColumn(verdict, F.when(~alive, col(verdict)).when(r.rejects(lambda f: col(at[f])), F.lit(r.name)))
     found = col(verdict).alias(out_col)
-    return out.drop(*own).select(*[col(c) for c in docs.columns if c != out_col], found)
+    return out.select(*[col(c) for c in docs.columns if c != out_col], found)
 
 
 def base_failed() -> Column:
