@@ -409,7 +409,7 @@ def test_mined_rules_against_brute_force(spark):
 def test_licenses(spark, empty):
     mit = licenses.KNOWN["MIT"][0]
     texts = ["Copyright (c) 2024 Someone\n\n" + mit.upper().replace("SUBLICENSE", "Sublicence"), mit + " more", "", None, "Released under the MIT Licence!", "Copyright 2020 A. Person"]
-    df = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)] + [(0, texts[0], "mine")], "doc_id long, text string, known_digest2 string")
+    df = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)] + [(0, texts[0], "mine")], "doc_id long, text string, known_digest string")
     got = licenses.scan(df, licenses.known_licenses(spark)).collect()
     assert len(got) == 7
     assert {r["doc_id"]: r["license_id"] for r in got} == {0: "MIT", 1: None, 2: None, 3: None, 4: "MIT", 5: None}
@@ -418,6 +418,15 @@ def test_licenses(spark, empty):
     assert licenses.scan(df, licenses.known_licenses(spark).limit(0)).where("license_id IS NOT NULL").count() == 0
 
 
+def test_planted_whole_licenses(spark):
+    """Every known text with other case, spelling, layout and copyright lines, in a table with clashing names."""
+    marks = ["Copyright (c) 2021 The Authors. All rights reserved.\n\n", "COPYRIGHT © SOME COMPANY\n", "(c) 2019-2024 A. Person\n\n"]
+    rows = [(k, marks[i % 3] + t.replace("license", "licence").replace(". ", ".\n  ").title() * 1) for k, texts in licenses.KNOWN.items() for i, t in enumerate(texts)]
+    df = spark.createDataFrame([(*r, "mine", "own") for r in rows], "want string, text string, known_license string, license_canonical string")
+    got = licenses.scan(df, licenses.known_licenses(spark)).collect()
+    assert len(got) == len(rows) and all(r["license_id"] == r["want"] and r["known_license"] == "mine" and r["license_canonical"] == "own" for r in got)
+
+
 def brute_targets(sizes, weights=(5, 2, 1)):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % 3] for i, s in enumerate(order)}
