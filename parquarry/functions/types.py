@@ -173,13 +173,19 @@ def modify_field(schema: T.StructType, name: str, data_type: T.DataType) -> T.St
 _WHOLE = [("tinyint", -(2**7), 2**7 - 1), ("smallint", -(2**15), 2**15 - 1), ("int", -(2**31), 2**31 - 1), ("bigint", -(2**63), 2**63 - 1)]
 
 
-def propose_types(df: DataFrame, include: Sequence[str] | None = None, exclude: Sequence[str] = (), shrink: bool = False, sample_rows: int | None = None) -> dict[str, str]:
+def propose_types(df: DataFrame, include: Sequence[str] | None = None, exclude: Sequence[str] = (), shrink: bool = False, sample_rows: int | None = None, sample_method: str = "first") -> dict[str, str]:
     """Better types for text and, with ``shrink``, number columns, as {column: type} of those that change.
 
     One aggregation: how many values a cast keeps, and least and greatest. ``sample_rows`` limits what
-    is looked at (the caller then verifies on all rows).
+    is looked at, the first or random ones (the caller then verifies on all rows).
     """
-    look = df if sample_rows is None else df.limit(sample_rows)
+    if sample_method not in ("first", "random"):
+        raise ValueError(f"sample_method {sample_method!r}")
+    look = df
+    if sample_rows is not None and sample_method == "random":
+        # a little more than asked for, so that the limit rarely finds too few
+        look = df.sample(fraction=min(1.0, 1.2 * sample_rows / max(df.count(), 1)), seed=17)
+    look = look if sample_rows is None else look.limit(sample_rows)
     aggs, kinds = [], {}
     for i, f in enumerate(df.schema):
         if f.name in exclude or include is not None and f.name not in include:
@@ -227,7 +233,5 @@ def propose_types(df: DataFrame, include: Sequence[str] | None = None, exclude:
 
 def opt_dtype(df: DataFrame, include: Sequence[str] | None = None, exclude: Sequence[str] = (), shrink: bool = False, sample_rows: int | None = None, sample_method: str = "first") -> DataFrame:
     """``df`` with the proposed types applied."""
-    if sample_method not in ("first", "random"):
-        raise ValueError(f"sample_method {sample_method!r}")
-    found = propose_types(df, include, exclude, shrink, sample_rows)
+    found = propose_types(df, include, exclude, shrink, sample_rows, sample_method)
     return df.withColumns({c: F.trim(col(c)).cast(t) if isinstance(df.schema[c].dataType, T.StringType) else col(c).cast(t) for c, t in found.items()}) if found else df

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import warnings
 from collections.abc import Sequence
 from typing import Any
@@ -13,11 +14,11 @@ from pyspark.sql import types as T
 
 from parquarry.functions.misc import get_partitions_from_path
 from parquarry.functions.reshape import timestamp_columns
-from parquarry.functions.types import col, unify_permissive, union_diagonal
+from parquarry.functions.types import col, convert_timestamps, replace_schema, unify_permissive, union_diagonal
 from parquarry.operators import maintain, merging, publish
 from parquarry.operators.prepare import prepare, to_frames
 from parquarry.operators.table import Table
-from parquarry.plans import stats
+from parquarry.plans import sqltext, stats
 from parquarry.sources.storage import Storage
 
 MODES = ("append", "overwrite", "delta")
@@ -58,7 +59,12 @@ class Dataset:
         self.delete_files(self.files)
 
     # -- reading
-    def _read(self, files: Sequence[str] | None = None) -> DataFrame:
+    def _read(self, files: Sequence[str] | None = None, file_col: str | None = None) -> DataFrame:
+        """Rows of ``files`` (all by default), with each row's file as stored by Spark in ``file_col`` if named."""
+        return self._read_one(files, file_col)
+
+    def _read_one(self, files: Sequence[str] | None = None, file_col: str | None = None) -> DataFrame:
+        """Files of one schema in one scan."""
         r = self.spark.read.format(self.format).options(**self.options)
         if self._schema is not None:
             r = r.schema(self._schema)
@@ -66,11 +72,13 @@ class Dataset:
             r = r.option("recursiveFileLookup", "true")
         paths = [self.path] if files is None else [self.storage.full(f) for f in files]
         df = r.option("basePath", self.path).load(paths)
+        df = df.withColumn(file_col, F.col("_metadata.file_path")) if file_col else df
         if isinstance(self.partitioning, (list, tuple)):
             rel = F.substring_index(F.input_file_name(), self.path.split("://")[-1].lstrip("/") + "/", -1)
             df = df.withColumns({n: F.split(rel, "/")[i] for i, n in enumerate(self.partitioning)})
         # a date in a path is text to readers of other engines, so it stays text here
-        dates = [f.name for f in df.schema if isinstance(f.dataType, T.DateType) and f.name in self.partition_names]
+        days = [f.name for f in df.schema if isinstance(f.dataType, T.DateType)]
+        dates = [c for c in days if c in self.partition_names] if days else []
         return df.withColumns({c: col(c).cast("string") for c in dates}) if dates else df
 
     def load(self) -> Dataset:
@@ -212,6 +220,7 @@ class ParquetDataset(Dataset):
     """A managed dataset: footer statistics in a sidecar, pruning scans, keyed merge, maintenance."""
 
     def __init__(self, spark: SparkSession, path: str, *a: Any, **k: Any):
+        self._known: dict[tuple[str, int, int], str] = {}
         super().__init__(spark, path, *a, **k)
         self.last_merge_result: merging.MergeResult | None = None
         self.reset_scan()
@@ -224,50 +233,58 @@ class ParquetDataset(Dataset):
         return maintain.file_schemas(self.storage, self.files)
 
     def file_schemas(self) -> dict[str, T.StructType]:
-        return {f: self._struct(s) for f, s in self.raw_file_schemas().items()}
-
-    @staticmethod
-    def _struct(schema: pa.Schema) -> T.StructType:
-        from pyspark.sql.pandas.types import from_arrow_schema
-
-        fields = []
-        for f in schema:
-            t = f.type
-            if pa.types.is_time(t) or pa.types.is_timestamp(t) and t.unit == "ns":
-                raise ValueError(f"column {f.name}: Spark can't read {t}; rewrite it as microseconds or text")
-            if pa.types.is_unsigned_integer(t):
-                t = {8: pa.int16(), 16: pa.int32(), 32: pa.int64(), 64: pa.decimal128(20, 0)}[t.bit_width]
-            if pa.types.is_float16(t):
-                t = pa.float32()
-            if pa.types.is_dictionary(t):
-                t = t.value_type
-            fields.append(pa.field(f.name, t, True))
-        return from_arrow_schema(pa.schema(fields), prefer_timestamp_ntz=True)
-
-    def _read(self, files: Sequence[str] | None = None) -> DataFrame:
-        """One plan where all files have one schema; else the files of each schema cast to the common one."""
-        names = self.files if files is None else list(files)
+        return {f: stats.spark_schema(s) for f, s in self.raw_file_schemas().items()}
+
+    def _schemas(self) -> list[str]:
+        """The distinct schemas (json) of all files, in the order of their first files.
+
+        A few files' footers are read here once; those of many are in the sidecar, or read by executors.
+        """
+        few = self.storage.few(".parquet")
+        if few is None:
+            rows = stats.current(self.storage).groupBy("spark_schema").agg(F.min("file_path").alias("f")).orderBy("f").collect()
+            self._known = {}
+            return [stats.parse_schema(r["spark_schema"]).json() for r in rows]
+        found = maintain.file_schemas(self.storage, [k[0] for k in few if k not in self._known])
+        self._known = {k: self._known[k] if k in self._known else stats.spark_schema(found[k[0]]).json() for k in few}
+        return list(dict.fromkeys(self._known.values()))
+
+    def _by_schema(self, files: Sequence[str] | None) -> dict[str, list[str]]:
+        """Files (all by default) by their schema, for a dataset of several; after ``_schemas``."""
         by: dict[str, list[str]] = {}
-        structs: dict[str, T.StructType] = {}
-        for f, s in maintain.file_schemas(self.storage, names).items():
-            st = self._struct(s)
-            structs[st.json()] = st
-            by.setdefault(st.json(), []).append(f)
-        if len(by) <= 1:
-            return super()._read(files)
-        return union_diagonal([super(ParquetDataset, self)._read(fs) for fs in by.values()])
+        pairs = [(f, s) for (f, *_), s in self._known.items()] if self._known else stats.current(self.storage).select("file_path", "spark_schema").distinct().orderBy("file_path").toLocalIterator()
+        wanted = None if files is None else set(files)
+        for f, s in pairs:
+            if wanted is None or f in wanted:
+                by.setdefault(s, []).append(f)
+        return by
+
+    def _read(self, files: Sequence[str] | None = None, file_col: str | None = None) -> DataFrame:
+        """One plan where all files of the dataset have one schema; else the files of each schema, cast to the
+        common one of all, whichever files are read."""
+        known = self._schemas()
+        if len(known) <= 1:
+            return self._read_one(files, file_col)
+        common = unify_permissive([T.StructType.fromJson(json.loads(s)) for s in known])
+        frames = [self._read_one(fs, file_col) for fs in self._by_schema(files).values()]
+        full = T.StructType([*common.fields, *[f for f in frames[0].schema if f.name not in common.names]])
+        return union_diagonal([replace_schema(f, full) for f in frames])
 
     def stats(self) -> DataFrame:
         """The sidecar, brought in line with the files."""
-        return stats.refresh(self.storage, self.files)
+        return stats.refresh(self.storage)
 
-    def load(self, update_metadata: bool = False, reload_metadata: bool = False, schema: T.StructType | None = None, **_: Any) -> ParquetDataset:
+    def load(self, update_metadata: bool = False, reload_metadata: bool = False, schema: T.StructType | None = None, ts_unit: str | None = None, tz: str | None = None) -> ParquetDataset:
+        """Opens the dataset and its view. ``ts_unit`` and ``tz`` convert timestamps as they are read."""
         if reload_metadata:
             self.delete_metadata_files()
         if schema is not None:
             self._schema = schema
         super().load()
-        if update_metadata and self.has_files:
+        if self._table and (ts_unit or tz):
+            self._table = Table(convert_timestamps(self._table(), ts_unit, tz))
+            self._table().createOrReplaceTempView(self.name)
+        if update_metadata and self._table:
             self.stats()
         return self
 
@@ -287,6 +304,24 @@ class ParquetDataset(Dataset):
     def delete_metadata_files(self) -> None:
         self.storage.delete(stats.SIDECAR)
 
+    def scan_metadata(self, filter_expr: str | None = None) -> DataFrame:
+        """The rows of the statistics (a row a row group) that may hold rows the filter accepts."""
+        table = self.stats()
+        return table if filter_expr is None else stats.matching(table, filter_expr).where("may").drop("may")
+
+    def get_file_paths(self) -> list[str]:
+        return self.files_in_metadata
+
+    def remove_from_metadata(self, files: Sequence[str] | str) -> None:
+        """Takes the rows of some files out of the sidecar; while the files exist the next use reads them anew."""
+        table = stats.load(self.storage)
+        if table is not None:
+            stats.save(self.storage, stats.without(table, [files] if isinstance(files, str) else list(files)))
+
+    def explain(self, filter_expr: str | None = None, mode: str = "formatted") -> str:
+        """The plan that a pruned scan with the filter would run."""
+        return (self.scan(filter_expr).filter(filter_expr) if filter_expr else Table(self._read())).explain(mode)
+
     def vacuum(self) -> None:
         super().vacuum()
         self.delete_metadata_files()
@@ -300,8 +335,13 @@ class ParquetDataset(Dataset):
     def metadata_table(self) -> DataFrame:
         return stats.metadata_view(self.spark, self.stats())
 
-    def collect_stats(self) -> dict:
-        rows = self.stats().groupBy("file_path").agg(F.sum("num_rows").alias("num_rows"), F.sum("total_byte_size").alias("size")).orderBy("file_path").collect()
+    def collect_stats(self, partition_filter: str | None = None) -> dict:
+        """Rows and bytes by file; only of partitions that ``partition_filter`` accepts, if given."""
+        table = self.stats()
+        if partition_filter is not None:
+            names = self.partition_names
+            table = sqltext.where(table.withColumns({n: F.col("partition")[n] for n in names}), partition_filter)
+        rows = table.groupBy("file_path").agg(F.sum("num_rows").alias("num_rows"), F.sum("total_byte_size").alias("size")).orderBy("file_path").collect()
         return {"total_rows": sum(r["num_rows"] for r in rows), "files": [{"path": r["file_path"], "num_rows": r["num_rows"], "size_bytes": r["size"]} for r in rows]}
 
     def partition_groups(self) -> DataFrame:
@@ -322,9 +362,8 @@ class ParquetDataset(Dataset):
 
     def scan(self, filter_expr: str | None = None) -> Table:
         """All rows of the files that may hold rows the filter accepts; apply the filter to get those."""
-        files = self.files
         self.latest_filter_expr = filter_expr
-        self._scan_files = stats.prune(self.stats(), filter_expr, files) if filter_expr and files else files
+        self._scan_files = stats.prune(self.stats(), filter_expr) if filter_expr and self.has_files else self.files
         if not self._scan_files:
             return Table((self._table() if self._table else self._read()).limit(0))
         return Table(self._read(self._scan_files))
@@ -369,6 +408,4 @@ class ParquetDataset(Dataset):
         return maintain.repair_schema(self, schema, **how)
 
     def common_schema(self) -> T.StructType:
-        return unify_permissive(list({s.json(): s for s in self.file_schemas().values()}.values()))
-
-
+        return unify_permissive([T.StructType.fromJson(json.loads(s)) for s in self._schemas()])

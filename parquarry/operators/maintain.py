@@ -9,15 +9,15 @@ from functools import reduce
 from typing import TYPE_CHECKING, Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parquarry.functions.misc import parse_interval, run_parallel
-from parquarry.functions.reshape import DATE_PARTS, with_datepart_columns
+from parquarry.functions.reshape import DATE_PARTS, timestamp_columns, with_datepart_columns
 from parquarry.functions.types import col, propose_types, replace_schema
 from parquarry.operators import publish
-from parquarry.plans import sqltext
+from parquarry.plans import sqltext, stats
 from parquarry.sources.storage import Storage, partition_values
 
 if TYPE_CHECKING:
@@ -27,14 +27,11 @@ MAX_ROWS = 10_000_000
 
 
 def file_schemas(storage: Storage, files: Sequence[str]) -> dict[str, pa.Schema]:
-    """Arrow schemas of files, from their footers alone."""
-    import pyarrow.fs as pafs
+    """Arrow schemas of some files, from their footers, on the driver: for few files."""
     import pyarrow.parquet as pq
 
     def one(f: str) -> pa.Schema:
-        uri = storage.full(f)
-        fs, path = pafs.FileSystem.from_uri("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri)
-        with fs.open_input_file(path) as h:
+        with stats.open_file(storage.full(f)) as h:
             return pq.read_schema(h)
 
     return dict(zip(files, run_parallel(one, files, n_jobs=16), strict=True))
@@ -147,9 +144,13 @@ def compact_by_time(ds: ParquetDataset, interval: str | timedelta, timestamp_col
     return plans if dry_run else None
 
 
-def repartition(ds: ParquetDataset, columns: Sequence[str] | str, *, compression: str = "zstd", max_rows_per_file: int = MAX_ROWS, dry_run: bool = False, derived_partition_columns: Sequence[str] = (), timestamp_column: str | None = None, unique: bool = False, sort_by: Any = None, **how: Any):
-    """All files into Hive folders of ``columns``; rows are kept as they are, repeated ones too."""
-    _checked(how, ("partition_timezone", "target_mb_per_file", "memory_budget_mb"))
+def repartition(ds: ParquetDataset, columns: Sequence[str] | str, *, compression: str = "zstd", max_rows_per_file: int = MAX_ROWS, dry_run: bool = False, derived_partition_columns: Sequence[str] = (), timestamp_column: str | None = None, unique: bool = False, sort_by: Any = None, partition_timezone: str | None = None, target_mb_per_file: float | None = None, **how: Any):
+    """All files into Hive folders of ``columns``; rows are kept as they are, repeated ones too.
+
+    Date parts are those of ``partition_timezone`` if given (times are UTC). ``target_mb_per_file`` bounds
+    rows a file by what rows take on average now. ``memory_budget_mb`` has no effect: Spark spills.
+    """
+    _checked(how, ("memory_budget_mb",))
     names = [columns] if isinstance(columns, str) else list(columns)
     if not names:
         raise ValueError("no columns to partition by")
@@ -159,7 +160,17 @@ def repartition(ds: ParquetDataset, columns: Sequence[str] | str, *, compression
     derive = [c for c in names if c not in df.columns and (c in DATE_PARTS or c in derived_partition_columns)]
     if missing := [c for c in names if c not in df.columns and c not in derive]:
         raise ValueError(f"no column {missing[0]!r}")
-    df = with_datepart_columns(df, derive, timestamp_column or ds.timestamp_column) if derive else df
+    if derive:
+        at = timestamp_column or ds.timestamp_column or next(iter(timestamp_columns(df.schema)), None)
+        if partition_timezone is None:
+            df = with_datepart_columns(df, derive, at)
+        else:
+            kept = df.columns
+            df = df.withColumn("_local", F.from_utc_timestamp(col(at), partition_timezone).cast("timestamp_ntz"))
+            df = with_datepart_columns(df, derive, "_local").select(*[col(c) for c in [*kept, *derive]])
+    if target_mb_per_file is not None:
+        n, size = ds.stats().agg(F.sum("num_rows"), F.sum("total_byte_size")).first()
+        max_rows_per_file = max(1, min(max_rows_per_file, int(target_mb_per_file * 1e6 * (n or 1) / (size or 1))))
     if unique:
         warnings.warn("unique=True: use compaction", DeprecationWarning, stacklevel=3)
         df = df.dropDuplicates()
@@ -174,6 +185,20 @@ def repartition(ds: ParquetDataset, columns: Sequence[str] | str, *, compression
     return None
 
 
+def _respelled(value: Column, new: str) -> Column:
+    """A cast value as text in the form of ``_plain_number``."""
+    return _plain_number(value.cast("string")) if new in ("float", "double") else value.cast("string")
+
+
+def _plain_number(text: Column) -> Column:
+    """The text of a number without what says nothing: "1.50" is "1.5", "2.0" is "2", "1.5E3" is "1500".
+    Leading zeros and signs say something: "00501" is a code."""
+    exact = text.try_cast("decimal(38,18)").cast("string")
+    short = F.regexp_replace(F.regexp_replace(exact, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    # what isn't a plain decimal is compared as it stands
+    return F.when(text.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]{1,18})?([eE][+-]?[0-9]+)?$") & short.isNotNull(), short).otherwise(text)
+
+
 def optimize_dtypes(ds: ParquetDataset, *, include: Sequence[str] | None = None, exclude: Sequence[str] = (), strict: bool = True, types: dict[str, str] | None = None, infer_schema_size: int | None = 10_000, compression: str = "zstd", dry_run: bool = False, **how: Any) -> dict[str, str] | None:
     """Narrower types, proposed from the first rows (or given) and checked on all rows before any file changes.
 
@@ -194,8 +219,9 @@ def optimize_dtypes(ds: ParquetDataset, *, include: Sequence[str] | None = None,
     if strict:
         lost = {}
         for c, t in found.items():
-            text = isinstance(df.schema[c].dataType, T.StringType)
-            lossy = F.lit(False) if text else cast(c, t).cast(df.schema[c].dataType) != col(c)
+            # the new value must spell the old text, or be the old number
+            old = F.trim(col(c)) if isinstance(df.schema[c].dataType, T.StringType) else col(c)
+            lossy = _respelled(cast(c, t), t) != _plain_number(old) if isinstance(df.schema[c].dataType, T.StringType) else cast(c, t).cast(df.schema[c].dataType) != old
             lost[c] = F.count_if(col(c).isNotNull() & (cast(c, t).isNull() | lossy))
         bad = df.agg(*[v.alias(c) for c, v in lost.items()]).first().asDict()
         if any(bad.values()):
@@ -214,25 +240,28 @@ def repair_schema(ds: ParquetDataset, schema: T.StructType | None = None, *, dry
     next signed type) count as different too: footers decide.
     """
     _checked(how, ("ts_unit", "tz", "format_version", "alter_schema"))
-    raw = ds.raw_file_schemas()
-    if not raw:
+    if not ds.has_files:
         return {"files": [], "schema": schema} if dry_run else None
     target = schema or ds.common_schema()
-
-    def plain(s: pa.Schema) -> bool:
-        return not any(pa.types.is_large_string(f.type) or pa.types.is_large_binary(f.type) or pa.types.is_large_list(f.type) or pa.types.is_unsigned_integer(f.type) for f in s)
-
     key = lambda s: sorted((f.name, f.dataType.simpleString()) for f in s)
-    odd = [f for f, s in raw.items() if key(ds._struct(s)) != key(target) or not plain(s)]
+    # a few distinct schemas; the names of the files that have an odd one
+    table = ds.stats()
+    kinds = table.select("spark_schema", F.array_sort(F.array_distinct(F.map_values("types"))).alias("kinds")).distinct().collect()
+    plain = lambda kinds: not any(k.startswith(("large_", "uint")) for k in kinds)
+    bad = [(r["spark_schema"], r["kinds"]) for r in kinds if key(stats.parse_schema(r["spark_schema"])) != key(target) or not plain(r["kinds"])]
+    found: dict[str, list[str]] = {}
+    if bad:
+        wanted = ds.spark.createDataFrame(bad, "spark_schema string, kinds array<string>")
+        rows = table.withColumn("kinds", F.array_sort(F.array_distinct(F.map_values("types")))).join(wanted, ["spark_schema", "kinds"], "left_semi").select("file_path", "spark_schema").distinct()
+        for r in rows.collect():
+            found.setdefault(r["spark_schema"], []).append(r["file_path"])
+    odd = sorted(f for fs in found.values() for f in fs)
     if dry_run:
         return {"files": odd, "schema": target}
     if not odd:
         return None
     names = ds.partition_names
-    frames: dict[str, list[str]] = {}
-    for f in odd:
-        frames.setdefault(ds._struct(raw[f]).json(), []).append(f)
-    parts = [super(type(ds), ds)._read(fs) for fs in frames.values()]
+    parts = [ds._read_one(fs) for fs in found.values()]
     full = T.StructType([*target.fields, *[parts[0].schema[n] for n in names if n not in target.names]])
     df = reduce(lambda a, b: a.unionByName(b), [replace_schema(p, full) for p in parts])
     _rewrite(ds, df, odd, names, compression, None, sum(p.count() for p in parts))

@@ -76,6 +76,22 @@ class Table:
     def limit(self, n: int, offset: int = 0) -> Table:
         return Table((self._df.offset(offset) if offset else self._df).limit(n))
 
+    def join(self, other: Table | DataFrame, on: str | Sequence[str] | Column, how: str = "inner") -> Table:
+        """With another table, by names that both have, by SQL text over both sides, or by a condition. In
+        SQL text the sides are ``l`` and ``r``."""
+        right = other() if isinstance(other, Table) else other
+        if isinstance(on, str) and on not in self._df.columns:
+            return Table(self._df.alias("l").join(right.alias("r"), sqltext.to_condition(on), how))
+        if not isinstance(on, Column):
+            on = [on] if isinstance(on, str) else list(on)
+            if missing := [c for c in on if c not in self._df.columns or c not in right.columns]:
+                raise ValueError(f"no column {missing[0]!r} on both sides")
+        return Table(self._df.join(right, on, how))
+
+    def explain(self, mode: str = "formatted") -> str:
+        """Spark's plan as text."""
+        return self._df._jdf.queryExecution().explainString(self._df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
+
     def head(self, n: int = 10):
         return self._df.limit(n).toPandas()
 
@@ -131,8 +147,24 @@ class Table:
     to_arrow = to_table = to_batches = to_arrow_table
 
     def to_batch_reader(self, batch_size: int | None = None, **how) -> pa.RecordBatchReader:
-        t = self._scan(batch_size=batch_size, **how).toArrow()
-        return pa.RecordBatchReader.from_batches(t.schema, t.to_batches(batch_size or ScannerConfig().batch_size))
+        """Batches of at most ``batch_size`` rows, fetched a partition at a time."""
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        df = self._scan(batch_size=batch_size, **how)
+        schema = to_arrow_schema(df.schema)
+
+        def batches():
+            rows: list = []
+            for r in df.toLocalIterator(prefetchPartitions=True):
+                rows.append(r.asDict(recursive=True))
+                if len(rows) == size:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+        size = batch_size or ScannerConfig().batch_size
+        return pa.RecordBatchReader.from_batches(schema, batches())
 
     def to_pandas(self, **how):
         return self._scan(**how).toPandas()

@@ -10,7 +10,7 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parquarry.functions.types import union_diagonal
+from parquarry.functions.types import opt_dtype, union_diagonal
 from parquarry.operators.dataset import CSVDataset, Dataset, JSONDataset, ParquetDataset
 from parquarry.operators.prepare import to_frames
 from parquarry.plans import sqltext
@@ -114,8 +114,8 @@ class Catalog:
 
     get_table = load
 
-    def read(self, table: str, include_file_path: bool = False, batch_size: int | None = None, concat: bool = True) -> DataFrame:
-        """All files' rows in the columns of all files."""
+    def read(self, table: str, include_file_path: bool = False, batch_size: int | None = None, concat: bool = True, opt_dtypes: bool = False) -> DataFrame:
+        """All files' rows in the columns of all files; ``opt_dtypes`` gives text columns the types they spell."""
         if batch_size or not concat:
             raise ValueError("a direct read gives one frame")
         name = self._name(table)
@@ -127,8 +127,8 @@ class Catalog:
             frames = [self.spark.read.format(ds.format).options(**opts).load(ds.storage.full(f)) for f in ds.files]
             frames = [f.withColumn("file_path", F.col("_metadata.file_path")) if include_file_path else f for f in frames]
             return union_diagonal(frames)
-        df = ds._read()
-        return df.select("*", F.col("_metadata.file_path").alias("file_path")) if include_file_path else df
+        df = ds._read(file_col="file_path" if include_file_path else None)
+        return opt_dtype(df, exclude=["file_path"]) if opt_dtypes else df
 
     # -- SQL
     def sql(self, query: str) -> DataFrame:
