@@ -19,6 +19,7 @@ from parquarry.operators import maintain, merging, publish
 from parquarry.operators.prepare import prepare, to_frames
 from parquarry.operators.table import Table
 from parquarry.plans import sqltext, stats
+from parquarry.sources.jsonfiles import read_json
 from parquarry.sources.storage import Storage
 
 MODES = ("append", "overwrite", "delta")
@@ -210,7 +211,7 @@ class JSONDataset(Dataset):
         files = [f for f in self.files if "/" not in f]
         if not files:
             raise FileNotFoundError(f"No JSON files in {self.path}")
-        df = self.spark.read.options(multiLine="true", **self.options).json([self.storage.full(f) for f in files])
+        df = read_json(self.spark, [self.storage.full(f) for f in files], **self.options)
         self._table = Table(df)
         df.createOrReplaceTempView(self.name)
         return self

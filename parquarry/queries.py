@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parquarry.functions import reshape, types
-from parquarry.operators.dataset import ParquetDataset
+from parquarry.operators.dataset import CSVDataset, JSONDataset, ParquetDataset
 from parquarry.operators.joins import asof_join
 from parquarry.operators.table import Table
 from parquarry.plans import sqltext
 from parquarry.session import scratch
+from parquarry.sources import files as single
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -68,7 +69,7 @@ _sql("join_left", "SELECT c_custkey, COUNT(o_orderkey) AS n FROM customer LEFT J
 _sql("join_right", "SELECT c_custkey, COUNT(o_orderkey) AS n FROM orders RIGHT JOIN customer ON c_custkey = o_custkey GROUP BY c_custkey")
 _sql("join_full", "SELECT COALESCE(n_nationkey, -1) AS n, COALESCE(s_suppkey, -1) AS s FROM nation FULL OUTER JOIN supplier ON n_nationkey = s_nationkey AND s_acctbal > 5000")
 _sql("join_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-_sql("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_sql("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 _sql("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 _sql("join_theta", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation AS a JOIN nation AS b ON a.n_regionkey < b.n_regionkey")
 _sql("join_self", "SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier AS a JOIN supplier AS b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
@@ -136,10 +137,10 @@ def union_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return types.union_diagonal([a, b])
 
 
-@query("SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey)")
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_suppkey % 10 = 1)")
 def delta_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    return reshape.delta(left, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("c_nationkey")), ["c_nationkey"])
+    return reshape.delta(left, table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 1").select(F.col("s_nationkey").alias("c_nationkey")), ["c_nationkey"])
 
 
 # -- helpers
@@ -218,10 +219,10 @@ def prune_scan_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ds.scan(p).filter(p)()
 
 
-@query("SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS num_rows FROM orders GROUP BY o_orderstatus")
+@query("SELECT o_orderstatus, CAST(1 AS BIGINT) AS num_files, CAST(count(*) AS BIGINT) AS num_rows FROM orders GROUP BY o_orderstatus")
 def partition_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ds = _dataset(spark, "orders_parts", table(spark, sf_dir, "orders"), partition_by=["o_orderstatus"])
-    return ds.partition_groups().select(F.map_from_entries("partition")["o_orderstatus"].alias("o_orderstatus"), "num_rows")
+    ds = _dataset(spark, "orders_parts", table(spark, sf_dir, "orders").repartition(3, "o_orderstatus"), partition_by=["o_orderstatus"])
+    return ds.partition_groups().select(F.map_from_entries("partition")["o_orderstatus"].alias("o_orderstatus"), "num_files", "num_rows")
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,6 +340,126 @@ def optimize_dtypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ds.t().select(F.col("p_partkey").cast("long"), "p_name", F.col("p_size").cast("long"))
 
 
+# -- what maintenance leaves behind: files, their order and types, beside the rows
+def _files(ds: ParquetDataset) -> DataFrame:
+    """A row a file: its place in the order of names, rows, and row groups' least and greatest values."""
+    table = ds.stats().groupBy("file_path").agg(F.sum("num_rows").alias("num_rows"), F.first("columns").alias("columns"), F.first("types").alias("types"))
+    return table.withColumn("nth", F.row_number().over(Window.orderBy("file_path")).cast("long"))
+
+
+@query("SELECT CAST(1 AS BIGINT) AS files, CAST(count(*) AS BIGINT) AS num_rows, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders")
+def compact_rows_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen files become one, no row is lost."""
+    ds = _dataset(spark, "orders_sixteen", table(spark, sf_dir, "orders").repartition(16))
+    ds.compact_by_rows(max_rows_per_file=10_000_000)
+    files = _files(ds).agg(F.count(F.lit(1)).alias("files"), F.sum("num_rows").alias("num_rows"))
+    return files.crossJoin(ds.t().agg(F.sum("o_orderkey").alias("keys")))
+
+
+@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS at FROM orders")
+def compact_ordered_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's place when the files are read one after another in the order of their names."""
+    ds = _dataset(spark, "orders_places", table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").repartition(6))
+    ds.compact_by_rows(max_rows_per_file=4000, sort_by="o_totalprice desc, o_orderkey")
+    one = ds.spark.read.parquet(ds.path).select("o_orderkey", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i"))
+    return one.select("o_orderkey", F.row_number().over(Window.orderBy("f", "i")).cast("long").alias("at"))
+
+
+@query("SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS num_rows, CAST(min(o_orderkey) AS BIGINT) AS least, CAST(max(o_orderkey) AS BIGINT) AS most FROM orders GROUP BY o_orderstatus")
+def repartition_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders after repartitioning, from paths and footers alone."""
+    ds = _dataset(spark, "orders_folders", table(spark, sf_dir, "orders"))
+    ds.repartition(["o_orderstatus"])
+    key = F.col("columns")["o_orderkey"]
+    return ds.stats().groupBy(F.col("partition")["o_orderstatus"].alias("o_orderstatus")).agg(F.sum("num_rows").alias("num_rows"), F.min(key["min"].cast("long")).alias("least"), F.max(key["max"].cast("long")).alias("most"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS windows FROM (SELECT DISTINCT floor((epoch_us(ts) - (SELECT epoch_us(min(ts)) FROM events)) / 604800000000) FROM events)")
+def compact_time_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many files as weeks, where each file held less than a week."""
+    e = table(spark, sf_dir, "events")
+    start = e.agg(F.unix_micros(F.min("ts").cast("timestamp"))).first()[0]
+    week = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(start)) / F.lit(7 * 86_400_000_000))
+    half = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(start)) / F.lit(7 * 43_200_000_000))
+    split = e.withColumns({"w": week, "h": half}).repartition(8, "w", "h")
+    ds = ParquetDataset(spark, scratch(spark, "events_weeks"), name="events_weeks")
+    for r in split.select("w", "h").distinct().orderBy("w", "h").collect():
+        ds.write_to_dataset(split.where((F.col("w") == r["w"]) & (F.col("h") == r["h"])).drop("w", "h").coalesce(1))
+    ds.load().compact_by_timeperiod("7d", "ts")
+    return _files(ds).agg(F.count(F.lit(1)).alias("windows"))
+
+
+@query("SELECT 'p_partkey' AS name, 'int16' AS type UNION ALL SELECT 'p_size', 'int8' UNION ALL SELECT 'price', 'double' UNION ALL SELECT 'p_name', 'string'")
+def optimize_dtypes_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored types after narrowing: text that spells whole numbers becomes one, text that does not stays."""
+    p = table(spark, sf_dir, "part").where("p_partkey < 1000").select(F.col("p_partkey").cast("string"), "p_name", F.col("p_size").cast("long"), (F.col("p_size") / 3).alias("price"))
+    ds = _dataset(spark, "part_types", p.coalesce(1))
+    ds.optimize_dtypes(exclude=["price"])
+    return ds.stats().select(F.explode("types").alias("name", "type")).distinct()
+
+
+@query("SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(20, 2)) AS price FROM orders WHERE CAST(o_totalprice AS DECIMAL(20, 2)) > 1000.55 AND CAST(o_totalprice AS DECIMAL(20, 2)) <= 20000.1")
+def prune_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(20,2)").alias("price"))
+    ds = _dataset(spark, "orders_decimal", o.repartitionByRange(12, "price"))
+    p = "price > 1000.55 AND price <= 20000.1"
+    return ds.scan(p).filter(p)()
+
+
+@query(f"SELECT * EXCLUDE (extra), extra FROM (SELECT *, CAST(NULL AS INTEGER) AS extra FROM ({_UPDATED}) UNION ALL SELECT *, CAST(NULL AS INTEGER) AS extra FROM ({_NEW})) AS x")
+def merge_mixed_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upsert into files of two schemas."""
+    c = table(spark, sf_dir, "customer")
+    ds = ParquetDataset(spark, scratch(spark, "customer_mixed"), name="customer_mixed")
+    ds.write_to_dataset(c.where("c_custkey % 2 = 0").withColumn("c_nationkey", F.col("c_nationkey").cast("int")), alter_schema=True)
+    ds.write_to_dataset(c.where("c_custkey % 2 = 1").withColumn("extra", F.lit(None).cast("int")), alter_schema=True)
+    ds.load().merge(_changes(spark, sf_dir), "upsert", "c_custkey")
+    return ds.t()
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey < 500 AND o_orderstatus IN ('F', 'P')")
+def read_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file read with an Arrow expression."""
+    import pyarrow.compute as pc
+
+    return single.read_parquet(spark, f"{sf_dir}/orders.parquet", (pc.field("o_orderkey") < 500) & pc.field("o_orderstatus").isin(["F", "P"]), ["o_orderkey", "o_orderpriority"])
+
+
+@query("SELECT n_nationkey, n_name, '7' AS region FROM nation")
+def read_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file written, and read with its folder's value."""
+    at = single.write_table(spark, table(spark, sf_dir, "nation"), f"{scratch(spark, 'one')}/region=7/nation.parquet")
+    return single.read_table(spark, at, partitioning="hive").select("n_nationkey", "n_name", "region")
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name, s_acctbal FROM supplier")
+def read_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = scratch(spark, "supplier_csv")
+    table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal").repartition(3).write.option("header", "true").csv(at)
+    return CSVDataset(spark, at, name="supplier_csv").load().t().select(F.col("s_suppkey").cast("long"), "s_name", "s_acctbal")
+
+
+@query("SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
+def read_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = scratch(spark, "region_json")
+    table(spark, sf_dir, "region").select("r_regionkey", "r_name").repartition(2).write.json(at)
+    return JSONDataset(spark, at, name="region_json").load().t().select("r_regionkey", "r_name")
+
+
+@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'")
+def table_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, r = Table(table(spark, sf_dir, "nation")), Table(table(spark, sf_dir, "region"))
+    return n.join(r, "n_regionkey = r_regionkey").filter("r_name <> 'ASIA'").select(["n_name", "r_name"])()
+
+
+@query("SELECT CAST(min(o_orderkey) AS BIGINT) AS least, CAST(max(o_orderkey) AS BIGINT) AS most FROM orders")
+def metadata_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least and greatest key of all row groups, from the statistics view by SQL."""
+    ds = _dataset(spark, "orders_bounds", table(spark, sf_dir, "orders").repartition(5))
+    ds.metadata_table()
+    return spark.sql("SELECT min(CAST(o_orderkey.min AS BIGINT)) AS least, max(CAST(o_orderkey.max AS BIGINT)) AS most FROM metadata_table")
+
+
 @query("SELECT n_name, CAST(count(*) AS BIGINT) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 GROUP BY n_name")
 def catalog_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     import os

@@ -14,6 +14,7 @@ from parquarry.functions.types import opt_dtype, union_diagonal
 from parquarry.operators.dataset import CSVDataset, Dataset, JSONDataset, ParquetDataset
 from parquarry.operators.prepare import to_frames
 from parquarry.plans import sqltext
+from parquarry.sources.jsonfiles import read_json
 
 KINDS = {"parquet": ParquetDataset, "csv": CSVDataset, "json": JSONDataset}
 
@@ -123,8 +124,9 @@ class Catalog:
         if not ds.has_files:
             raise FileNotFoundError(f"No {ds.format.upper()} files in {ds.path}")
         if ds.format in ("csv", "json"):
-            opts = {"header": "true", "inferSchema": "true"} if ds.format == "csv" else {"multiLine": "true"}
-            frames = [self.spark.read.format(ds.format).options(**opts).load(ds.storage.full(f)) for f in ds.files]
+            opts = {"header": "true", "inferSchema": "true"}
+            uris = [ds.storage.full(f) for f in ds.files]
+            frames = [self.spark.read.options(**opts).csv(u) if ds.format == "csv" else read_json(self.spark, [u]) for u in uris]
             frames = [f.withColumn("file_path", F.col("_metadata.file_path")) if include_file_path else f for f in frames]
             return union_diagonal(frames)
         df = ds._read(file_col="file_path" if include_file_path else None)

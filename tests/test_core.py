@@ -230,6 +230,9 @@ def test_csv_json_catalog(spark, tmp_path):
         JSONDataset(spark, str(tmp_path / "j")).load()
     (tmp_path / "j/part.json").write_text('[{"value": 1}, {"value": 2}]')
     assert JSONDataset(spark, str(tmp_path / "j")).load().count_rows() == 2
+    (tmp_path / "j/lines.json").write_text('{"value": 3}\n{"value": 4, "more": "x"}\n')
+    (tmp_path / "j/one.json").write_text('{\n "value": 5\n}\n')
+    assert rows(JSONDataset(spark, str(tmp_path / "j")).load().t(), "value", "more") == [(1, None), (2, None), (3, None), (4, "x"), (5, None)]
     path = tmp_path / "cat.yml"
     path.write_text(yaml.safe_dump({"filesystem": {}, "tables": {"raw": {"c": {"path": str(tmp_path / "c"), "format": "csv"}}, "none": None}}))
     cat = Catalog(spark, str(path))
