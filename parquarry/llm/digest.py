@@ -8,12 +8,15 @@ likeness is 1 less that difference over a bound near what unrelated texts show,
 Edge cases. Null text counts as empty; the empty text's digest has all buckets in the lowest
 quartile. Texts of under five bytes have few or no triplets and differ by their length byte. Equal
 texts have equal digests. ``neighbours`` orders by id, nulls first, ties by the text's hash and the
-text; equal rows follow one another. An only row is its own neighbour. Empty table: no rows.
+text; equal rows follow one another. An only row is its own neighbour. Empty table: no rows. Ids are
+whole numbers; others are refused. Columns of the caller's pass through ``fingerprint``, which replaces
+one of the name that it adds.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +24,7 @@ import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parquarry.llm._common import bounded_batches, col, shuffle_partitions
 
@@ -134,34 +138,51 @@ def fingerprint(docs: DataFrame, text_col: str = "text", out_col: str = "fingerp
     """``docs`` plus the hex digest of each whole text."""
     bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
+    keep = [i for i, c in enumerate(docs.columns) if c != out_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(Digests(texts).hex(), pa.string())], names=[*b.schema.names, out_col])
+            names = [*[b.schema.names[i] for i in keep], out_col]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(Digests(texts).hex(), pa.string())], names=names)
 
-    return docs.mapInArrow(run, docs.select("*", F.lit("").alias(out_col)).schema)
+    schema = T.StructType([*[docs.schema[i] for i in keep], T.StructField(out_col, T.StringType())])
+    return docs.mapInArrow(run, schema)
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """All rows as ``bucket, guest, doc_id, text`` such that, sorted by bucket, guest, doc_id, hash and
     text, each row's next within its bucket is its next in the whole table, the last's the first.
 
-    Buckets are ranges of ids between approximate quantiles, about equal in rows. Texts are shuffled
-    once; each bucket also gets the following bucket's first row as a guest, which is all that
+    Buckets are ranges of ids between approximate quantiles, about equal in rows; rows without an id, and
+    those of an id that several quantiles fall on, are parted further by their text's hash. Texts are
+    shuffled once; each bucket also gets the following bucket's first row as a guest, which is all that
     crosses a boundary.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} is {docs.schema[id_col].dataType.simpleString()}; ids must be whole numbers")
     n = partitions or shuffle_partitions(spark)
-    cuts = docs.approxQuantile(id_col, [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
-    edges = [-float("inf"), *sorted({c for c in cuts if c is not None}), float("inf")]
-    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(id_col).cast("double").alias("at"), F.coalesce(col(text_col), F.lit("")).cast("binary").alias("text"))
-    if len(edges) > 2:
-        rows = Bucketizer(splits=edges, inputCol="at", outputCol="b", handleInvalid="keep").transform(rows)
+    ids = col(id_col).cast("long")
+    cuts = [c for c in docs.select(ids.alias("id")).approxQuantile("id", [i / n for i in range(1, n)], 0.25 / n) if c is not None] if n > 1 else []
+    total, without = docs.agg(F.count(F.lit(1)), F.count_if(ids.isNull())).first()
+    hot = {c: k + 1 for c, k in Counter(cuts).items() if k > 1}  # n / 2 at most
+    many = {None: -(-n * without // max(total, 1)), **hot}
+    rows = docs.select(ids.alias("doc_id"), ids.cast("double").alias("at"), F.coalesce(col(text_col), F.lit("")).cast("binary").alias("text"))
+    if cuts:
+        rows = Bucketizer(splits=[-float("inf"), *sorted(set(cuts)), float("inf")], inputCol="at", outputCol="b", handleInvalid="keep").transform(rows)
     else:
         rows = rows.withColumn("b", F.lit(0.0))
-    rows = rows.select(F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("b")).cast("int").alias("bucket"), "doc_id", "text")
-    # n + 1 rows at most: each bucket's smallest id, and the bucket that comes before
+    # a hot id begins its bucket, so its parts come first in it, in the order of the hash
+    last = max(many.values())
+    share = F.xxhash64("text") / F.lit(2.0**64) + F.lit(0.5)
+    parts = F.lit(many[None])
+    if hot:
+        parts = F.when(F.col("doc_id").isNull(), parts).otherwise(F.element_at(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]), F.col("at")))
+    sub = F.when(F.col("doc_id").isNull() | F.col("at").isin(list(hot)), F.least(F.floor(share * parts), parts - 1)).otherwise(last)
+    base = F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("b"))
+    rows = rows.select((base * (last + 1) + sub).cast("int").alias("bucket"), "doc_id", "text")
+    # some n rows: each bucket's smallest id, and the bucket that comes before
     firsts = rows.groupBy("bucket").agg(F.min("doc_id").alias("first")).collect()
     order = sorted(r["bucket"] for r in firsts)
     before = {b: order[i - 1] for i, b in enumerate(order)}

@@ -83,9 +83,9 @@ def simhash(text: bytes, width: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", width: int = WORDS, out_col: str = "simhash", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all by default) plus the fingerprint as a long."""
+    """The columns ``keep`` (all by default) plus the fingerprint as a long, in place of a column of its name."""
     bounded_batches(docs.sparkSession)
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c != out_col]
     (text,) = fresh(docs, "simhash_text")
     given = docs.select(*[col(c) for c in keep], F.coalesce(col(text_col), F.lit("")).cast("binary").alias(text))
     n = len(keep)

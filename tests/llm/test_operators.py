@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -92,6 +93,42 @@ def test_digest(docs, rows, empty):
     assert only[0]["near_next"] == 1
 
 
+def test_digest_skewed_ids_and_clashes(spark):
+    """A third of the rows without an id, a third of one id: the successor is the next row in id, hash, text."""
+    r = random.Random(5)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "".join(r.choice("abc ") for _ in range(r.randint(0, 40))), "own") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string")
+    got = digest.with_edited(docs, partitions=8).collect()
+    keyed = docs.select("doc_id", "text", F.xxhash64(F.col("text").cast("binary")).alias("h")).collect()
+    order = sorted(keyed, key=lambda x: (x["doc_id"] is not None, x["doc_id"] or 0, x["h"], x["text"].encode()))
+    want = Counter()
+    for x, y in zip(order, [*order[1:], order[0]], strict=True):
+        k = len(x["text"]) // 2
+        want[x["doc_id"], len(x["text"]), hashlib.sha256((x["text"][: len(x["text"]) - k] + y["text"][:k]).encode()).hexdigest()] += 1
+    assert Counter((x["doc_id"], x["n_chars"], x["edited_sha256"]) for x in got) == want
+    spread = digest.neighbours(docs, partitions=8).where("NOT guest").groupBy("bucket").count().collect()
+    assert max(x["count"] for x in spread) < 40
+    assert digest.fingerprint(docs).columns == docs.columns
+    with pytest.raises(TypeError):
+        digest.with_edited(docs.withColumn("doc_id", F.lit("a")))
+
+
+def test_quartiles_and_likeness_told_plainly():
+    r = random.Random(9)
+    texts = [bytes(r.randrange(97, 123) for _ in range(n)) for n in (9, 400, 401, 3000)]
+    d = digest.Digests(texts)
+    for t, codes, length in zip(texts, d.codes, d.lengths, strict=True):
+        counts = digest.bucket_counts([t])[0].tolist()
+        q1, q2, q3 = (sorted(counts)[k] for k in (63, 127, 191))
+        assert codes.tolist() == [0 if c <= q1 else 1 if c <= q2 else 2 if c <= q3 else 3 for c in counts]
+        assert length == round(8 * math.log2(1 + len(t)))
+    a, b = 1, 3
+    steps = sum({0: 0, 1: 1, 2: 2, 3: 6}[abs(int(x) - int(y))] for x, y in zip(d.codes[a], d.codes[b], strict=True))
+    want = max(0.0, 1 - (steps + min(64, 2 * abs(int(d.lengths[a]) - int(d.lengths[b])))) / 416)
+    names = d.hex()
+    assert digest.compare(names[a], names[b]) == pytest.approx(want) and digest.compare(names[a], names[a]) == 1
+
+
 def test_digest_chunks_and_brute_force(monkeypatch):
     r = random.Random(1)
     texts = [bytes(r.randrange(256) for _ in range(n)) for n in (0, 3, 5, 6, 700, 4000)]
@@ -349,6 +386,47 @@ def test_language_id(spark, empty):
     assert {r["doc_id"] for r in langid.keep(df).collect()} == {r[0] for r in data} - {500, 501}
 
 
+def test_language_against_plain_bayes(spark):
+    """Multinomial naive Bayes told plainly: counts plus one over hashed 2- and 3-grams, log priors."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 3000").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    model = langid.train(docs)
+    grams = {}
+    for x in rows:
+        kept = "".join(c if c.isalpha() or unicodedata.category(c).startswith("M") else " " for c in x["text"].lower()).split()
+        t = f" {' '.join(kept)} " if any(c.isalpha() for w in kept for c in w) else ""
+        two, three = langid.gram_columns(np.array([ord(c) for c in t], np.uint32), langid.COLUMNS) if t else ((), ())
+        grams[x["doc_id"]] = [*two, *three]
+    names = sorted({x["lang"] for x in rows})
+    count = {y: Counter(g for x in rows if x["lang"] == y for g in grams[x["doc_id"]]) for y in names}
+    size = {y: sum(c.values()) + langid.COLUMNS for y, c in count.items()}
+    prior = Counter(x["lang"] for x in rows)
+    got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    for x in rows:
+        g = Counter(grams[x["doc_id"]])
+        if not g:
+            assert (got[x["doc_id"]]["lang_pred"], got[x["doc_id"]]["score"]) == ("und", 0)
+            continue
+        logs = [math.log(prior[y] / len(rows)) + sum(n * math.log((count[y][k] + 1) / size[y]) for k, n in g.items()) for y in names]
+        best = max(logs)
+        assert got[x["doc_id"]]["lang_pred"] == names[logs.index(best)]
+        assert got[x["doc_id"]]["score"] == pytest.approx(1 / sum(math.exp(v - best) for v in logs), abs=1e-3)
+
+
+def test_good_turing_told_plainly():
+    """d_r = (r*/r - a) / (1 - a) with r* = (r + 1) n_{r+1} / n_r and a = (k + 1) n_{k+1} / n_1, k as large as may be."""
+    n = {1: 1000, 2: 300, 3: 140, 4: 80, 5: 52, 6: 36}
+    types = sum(n.values()) + 90
+    got = katz.Discount([0, *n.values()], types)
+    k = 5
+    a = (k + 1) * n[k + 1] / n[1]
+    want = [((r + 1) * n[r + 1] / n[r] / r - a) / (1 - a) for r in range(1, k + 1)]
+    assert all(0 < d < 1 for d in want) and got.d[1:].tolist() == pytest.approx(want)
+    c = np.array([1, 2, 5, 6, 400])
+    assert got.g(c).tolist() == pytest.approx([want[0], 2 * want[1], 5 * want[4], 6 - 5 * (1 - want[4]), 400 - 5 * (1 - want[4])])
+    assert got.left == pytest.approx(sum(n[r] * r * (1 - want[r - 1]) for r in range(1, 6)) + (types - sum(n[r] for r in range(1, 6))) * 5 * (1 - want[4]))
+
+
 def test_language_pieces_agree(monkeypatch):
     text = langid.normalise("some words to cut in pieces " * 30)
     whole = Counter(np.concatenate([c for c, _ in langid.grams([text, " a "], 1 << 10)]).tolist())
