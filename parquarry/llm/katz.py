@@ -21,7 +21,11 @@ the corpus is broadcast or collected:
 4. That partition makes alpha, and sends each chunk the weights' logarithms added up by document.
 5. A chunk adds them to its documents' scores.
 
-Memory in a task: one chunk, or one partition's keys, or one row. Edge cases. Null text counts as
+Memory in a task: one chunk, or one range's keys (RANGE_BYTES of text make one, however large the corpus),
+or one row. A chunk is named by its input partition, so a stage that is run again after a lost executor must find its
+input partitions as they were: scans, checkpoints and written tables do; write a shuffled input first.
+
+Edge cases. Null text counts as
 empty: one end token. Null ids train. No training text: P is 1 for the unknown, scores 0. Repeated
 rows and ids keep a row each. Empty table: no rows. Very long texts: a text is one document of its
 chunk; a chunk grows with the longest text.
@@ -40,6 +44,8 @@ from pyspark.sql import functions as F
 from parquarry.llm._common import bounded_batches, col, release, shuffle_partitions, temporary, written
 
 CHUNK = 2_000_000
+#: Bytes of text to a range of keys on average at most: more ranges than shuffle partitions where there is more.
+RANGE_BYTES = 16 << 20
 MAX_K = 5
 #: Words remembered with their hashes in a worker; forgotten when there are more.
 MAX_WORDS = 400_000
@@ -282,7 +288,8 @@ def train_and_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     """Trains on rows where ``held_out`` is false and scores all rows: RESULT."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    n = places or shuffle_partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(col(text_col)))).first()[0] or 0
+    n = places or max(shuffle_partitions(spark), -(-size // RANGE_BYTES))
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
