@@ -267,28 +267,6 @@ def test_position_groups_hold_in_any_four():
 
 
 @pytest.mark.parametrize("groups", [simhash.PAIRS, simhash.TRIPLES, simhash.QUADS])
-def plain_queue(docs, target, seed=42):
-    """Weighted fair queueing as it is told: (id, source, text's hash) to (times taken, size)."""
-    keyed = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "text", F.lit(seed)).alias("tie"), F.xxhash64("text").alias("tie2")).collect()
-    groups = Counter((r["doc_id"], r["source"], r["tie2"], r["tie"], len(re.findall(r"[^\x20\x09-\x0d]+", r["text"] or ""))) for r in keyed)
-    nulls_first = lambda x: (x is not None, x or 0)
-    total = {s: sum(g[4] * n for g, n in groups.items() if g[1] == s) for s in target}
-    places = []
-    for s in target:
-        done = 0
-        for g in sorted((g for g in groups if g[1] == s), key=lambda g: ((g[3] % 2**64) >> 33, g[3], nulls_first(g[0]), g[2])):
-            done += g[4] * groups[g]
-            if g[4]:
-                places += [((p * total[s] + done) / target[s], g[3], nulls_first(g[0]), g[2], p, g) for p in (0, 1)]
-    left, taken = 1.5 * sum(total.values()), Counter()
-    for *_, g in sorted(places, key=lambda x: x[:5]):
-        left -= g[4] * groups[g]
-        if left < 0:
-            break
-        taken[g] += 1
-    return {g[:3]: (taken[g], g[4]) for g in groups}
-
-
 @pytest.mark.parametrize("block", [4096, 7])
 def test_links_lose_no_connection(spark, monkeypatch, groups, block):
     r = random.Random(4)
@@ -521,6 +499,28 @@ def brute_targets(sizes, weights=(5, 2, 1)):
     return target
 
 
+def plain_queue(docs, target, seed=42):
+    """Weighted fair queueing as it is told: (id, source, text's hash) to (times taken, size)."""
+    keyed = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "text", F.lit(seed)).alias("tie"), F.xxhash64("text").alias("tie2")).collect()
+    groups = Counter((r["doc_id"], r["source"], r["tie2"], r["tie"], len(re.findall(r"[^\x20\x09-\x0d]+", r["text"] or ""))) for r in keyed)
+    nulls_first = lambda x: (x is not None, x or 0)
+    total = {s: sum(g[4] * n for g, n in groups.items() if g[1] == s) for s in target}
+    places = []
+    for s in target:
+        done = 0
+        for g in sorted((g for g in groups if g[1] == s), key=lambda g: ((g[3] % 2**64) >> 33, g[3], nulls_first(g[0]), g[2])):
+            done += g[4] * groups[g]
+            if g[4]:
+                places += [((p * total[s] + done) / target[s], g[3], nulls_first(g[0]), g[2], p, g) for p in (0, 1)]
+    left, taken = 1.5 * sum(total.values()), Counter()
+    for *_, g in sorted(places, key=lambda x: x[:5]):
+        left -= g[4] * groups[g]
+        if left < 0:
+            break
+        taken[g] += 1
+    return {g[:3]: (taken[g], g[4]) for g in groups}
+
+
 @pytest.mark.parametrize("block", [50_000, 7])
 def test_mixing(docs, rows, empty, block):
     got = mixing.mix_counts(docs, block_rows=block).collect()
