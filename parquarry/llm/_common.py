@@ -81,6 +81,25 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, path: str) -> DataFrame:
+    """``df`` written at ``path`` in as many buckets of ``key`` as shuffles have partitions, and read back: joins
+    on the key then move the other side alone. ``unbucketed`` ends it."""
+    spark = df.sparkSession
+    name = _bucketed_name(path)
+    n = min(shuffle_partitions(spark), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
+    return spark.table(name)
+
+
+def unbucketed(spark: SparkSession, path: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {_bucketed_name(path)}")
+    remove(spark, path)
+
+
+def _bucketed_name(path: str) -> str:
+    return "parquarry_" + re.sub(r"\W", "_", path.rsplit("/", 1)[-1])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

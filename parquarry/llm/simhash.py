@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parquarry.llm import overlap
-from parquarry.llm._common import bounded_batches, checkpointed, col, fresh, only, release, remove, shuffle_partitions, temporary, unsigned_hex, written
+from parquarry.llm._common import bounded_batches, bucketed, checkpointed, col, fresh, only, release, shuffle_partitions, temporary, unbucketed, unsigned_hex
 from parquarry.llm.components import components
 
 WORDS, BITS, SEED = 4, 4, 42
@@ -251,10 +251,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     place = [col(id_col).isNull(), F.coalesce(col(id_col), F.lit(0)), F.xxhash64(text)]
     rows = checkpointed(docs.select(*[c.alias(x) for c, x in zip(place, ("no_id", "id", "node"), strict=True)]))
     path = temporary(docs.sparkSession, "texts")
-    texts = written(docs.select(F.xxhash64(text).alias("node"), text.cast("binary").alias("text")).dropDuplicates(["node"]), path)
+    texts = bucketed(docs.select(F.xxhash64(text).alias("node"), text.cast("binary").alias("text")).dropDuplicates(["node"]), "node", path)
     release(docs.sparkSession)
     of = components(near_texts(texts, width, max_bits))
-    remove(docs.sparkSession, path)  # components are checkpointed
+    unbucketed(docs.sparkSession, path)  # components are checkpointed
     release(docs.sparkSession)
     best = rows.groupBy("node").agg(F.min(F.struct("no_id", "id", "node")).alias("p")).join(of, "node", "left")
     best = best.groupBy(F.coalesce("component", "node")).agg(F.min("p").alias("p"))

@@ -61,10 +61,31 @@ def test_stage_finds_all_pairs_of_four_fifths(spark, rows):
     got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted((x["doc_id"] for x in got), key=str) == want
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("parquarry_texts")]
 
 
 def test_order_of_shingles_changes_no_result(spark, rows, monkeypatch):
     monkeypatch.setattr(overlap, "SAMPLE", 10)
     monkeypatch.setattr(overlap, "COLUMNS", 1 << 6)
+    monkeypatch.setattr(overlap, "PAIRS", 2)  # texts of more pairs are sent several times
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted((x["doc_id"] for x in simhash.keep_one(docs).collect()), key=str) == sorted(survivors(rows), key=str)
+
+
+def test_verified_against_all_pairs(spark, monkeypatch):
+    """A text of many pairs, a chain and pairs of both ends many, checked in pieces."""
+    monkeypatch.setattr(overlap, "PAIRS", 3)
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for k in range(24):
+        t = [*base]
+        for at in r.sample(range(60), k % 6):
+            t[at] = f"x{r.random()}"
+        texts.append(" ".join(t))
+    pairs = [(0, k) for k in range(1, 24)] + [(k, k + 1) for k in range(1, 23)] + [(k, 20) for k in range(2, 19, 2)]
+    given = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "node long, text binary").repartition(4)
+    got = overlap.verified(spark.createDataFrame(pairs, "u long, v long"), given).collect()
+    sets = [grams(t) for t in texts]
+    want = {(u, v) for u, v in pairs if 5 * len(sets[u] & sets[v]) >= 4 * len(sets[u] | sets[v])}
+    assert sorted(tuple(sorted(x)) for x in got) == sorted(tuple(sorted(x)) for x in want) and 0 < len(want) < len(pairs)
