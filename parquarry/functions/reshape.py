@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parquarry.functions.slices import default_slices, slice_of
 from parquarry.functions.types import col
 
 DATE_PARTS = {
@@ -131,11 +132,24 @@ def delta(left: DataFrame, right: DataFrame, subset: Sequence[str] | None = None
 
 
 def rank_average(df: DataFrame, by: str, over: Sequence[str] = (), name: str = "rank") -> DataFrame:
-    """Ranks from 1, ties sharing their mean."""
-    keys = list(over) or [F.lit(1)]
-    w = Window.partitionBy(*keys).orderBy(col(by))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, col(by)))
-    return df.withColumn(name, F.rank().over(w) + (ties - 1) / F.lit(2.0))
+    """Ranks from 1, ties sharing their mean.
+
+    Without ``over`` values are counted first, and their counts added up slice by slice of the values (text:
+    in one slice of distinct values); no task orders all rows.
+    """
+    if over:
+        w = Window.partitionBy(*over).orderBy(col(by))
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*over, col(by)))
+        return df.withColumn(name, F.rank().over(w) + (ties - 1) / F.lit(2.0))
+    each = df.groupBy(col(by).alias("_rank_value")).agg(F.count(F.lit(1)).alias("_n"))
+    each = each.withColumn("_slice", slice_of(each, "_rank_value", default_slices(df.sparkSession)))
+    up_to = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = each.groupBy("_slice").agg(F.sum("_n").alias("_sum"))  # a row a slice
+    sums = sums.select("_slice", F.coalesce(F.sum("_sum").over(up_to(Window.orderBy("_slice"))), F.lit(0)).alias("_below"))
+    within = F.coalesce(F.sum("_n").over(up_to(Window.partitionBy("_slice").orderBy("_rank_value"))), F.lit(0))
+    ranks = each.withColumn("_within", within).join(sums, "_slice").select("_rank_value", (F.col("_below") + F.col("_within") + 1 + (F.col("_n") - 1) / F.lit(2.0)).alias("_rank_made"))
+    kept = [col(c) for c in df.columns if c != name]
+    return df.join(ranks, col(by).eqNullSafe(F.col("_rank_value"))).select(*kept, F.col("_rank_made").alias(name))
 
 
 def is_duplicated(df: DataFrame) -> int:
