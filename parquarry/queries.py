@@ -130,6 +130,12 @@ def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof_join(clicks, buys, "ts", "ts", ["user_id"]).select("event_id", "right_ts")
 
 
+@query("SELECT l.event_id, max(r.ts) AS right_ts FROM events l ASOF LEFT JOIN (SELECT ts FROM events WHERE event_type = 'purchase') r ON l.ts >= r.ts WHERE l.event_type = 'click' GROUP BY l.event_id")
+def join_asof_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return asof_join(e.where("event_type = 'click'").select("event_id", "ts"), e.where("event_type = 'purchase'").select("ts"), "ts", "ts").select("event_id", "right_ts")
+
+
 @query("SELECT c_custkey AS k, c_name AS name, CAST(NULL AS DOUBLE) AS bal FROM customer UNION ALL SELECT s_suppkey, NULL, s_acctbal FROM supplier")
 def union_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
@@ -197,6 +203,11 @@ def rank_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.rank_average(table(spark, sf_dir, "customer"), "c_mktsegment", ["c_nationkey"]).select("c_custkey", "rank")
 
 
+@query("SELECT l_orderkey, l_linenumber, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS rank FROM lineitem")
+def rank_average_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshape.rank_average(table(spark, sf_dir, "lineitem"), "l_extendedprice").select("l_orderkey", "l_linenumber", "rank")
+
+
 @query("SELECT n_nationkey, n_name ~ 'A.*' AS yes, make_timestamp(n_nationkey::BIGINT * 1000000) AS t FROM nation".replace("n_name ~ 'A.*'", "lower(n_name) IN ('true', 'wahr', '1', '1.0', 'yes', 'ja', 'ok', 'o.k', 'okay')"))
 def casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
@@ -398,12 +409,12 @@ def optimize_dtypes_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ds.stats().select(F.explode("types").alias("name", "type")).distinct()
 
 
-@query("SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(20, 2)) AS price FROM orders WHERE CAST(o_totalprice AS DECIMAL(20, 2)) > 1000.55 AND CAST(o_totalprice AS DECIMAL(20, 2)) <= 20000.1")
+@query("SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(20, 2)) AS DOUBLE) AS price FROM orders WHERE CAST(o_totalprice AS DECIMAL(20, 2)) > 1000.55 AND CAST(o_totalprice AS DECIMAL(20, 2)) <= 20000.1")
 def prune_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(20,2)").alias("price"))
     ds = _dataset(spark, "orders_decimal", o.repartitionByRange(12, "price"))
     p = "price > 1000.55 AND price <= 20000.1"
-    return ds.scan(p).filter(p)()
+    return ds.scan(p).filter(p)().withColumn("price", F.col("price").cast("double"))
 
 
 @query(f"SELECT * EXCLUDE (extra), extra FROM (SELECT *, CAST(NULL AS INTEGER) AS extra FROM ({_UPDATED}) UNION ALL SELECT *, CAST(NULL AS INTEGER) AS extra FROM ({_NEW})) AS x")
