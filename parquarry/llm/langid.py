@@ -6,9 +6,10 @@ language, add-one smoothed, with log priors. Scoring sums matrix columns over a
 numpy, for many texts at once.
 
 Bounds. The matrix is at most MATRIX_BYTES: more languages get fewer columns, so it may be broadcast.
-It is fitted on at most about ``max_docs`` labelled texts of each language (a documented bound on
-training, drawn by a hash of the id); counts are summed on the executors and arrive as one number a
-language and column. Prediction reads whole texts, a piece at a time.
+``train`` fits it on at most about ``max_docs`` labelled texts of each language (a documented bound on
+training, drawn by a hash of the id), or on all with None; ``keep`` takes all, for its model and for what
+is usual. Counts are summed on the executors and arrive as one number a language and column.
+Prediction reads whole texts, a piece at a time.
 
 Edge cases. Null text or no letter: language ``und``, score 0. A text with letters but no n-gram
 has at least its space-padded ones. No labelled rows: every text is ``und``. Ties between languages
@@ -22,10 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parquarry.llm._common import bounded_batches, col, fresh, only
+from parquarry.llm._common import bounded_batches, col, fresh, only, remove, temporary, written
 
 UNKNOWN = "und"
 MAX_DOCS = 5000
@@ -133,20 +134,35 @@ class Model:
         langs = [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)]
         return langs, [float(s) if ok else 0.0 for s, ok in zip(score, known, strict=True)], mean / np.maximum(many, 1), many
 
+    def means(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The last two of ``judge``, without a language."""
+        mean, many = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for columns, owner in grams([normalise(t) for t in texts], len(self.by_column)):
+            mean += np.bincount(owner, weights=self.any[columns], minlength=len(texts))
+            many += np.bincount(owner, minlength=len(texts))
+        return mean / np.maximum(many, 1), many
 
-def _drawn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int, seed: int) -> tuple[DataFrame, dict[str, int]]:
-    """``lang, text`` of about ``max_docs`` labelled rows of each language, and how many rows each has."""
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, seed: int = 0) -> DataFrame:
+    """``lang, text, draw`` of the rows that have both."""
+    return docs.where(col(text_col).isNotNull() & col(lang_col).isNotNull()).select(col(text_col).alias("text"), col(lang_col).alias("lang"), F.xxhash64(col(id_col), F.lit(seed)).alias("draw"))
+
+
+def _drawn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int | None, seed: int) -> tuple[DataFrame, dict[str, int]]:
+    """``lang, text`` of about ``max_docs`` labelled rows of each language (None: all), and how many rows each has."""
     spark = labelled.sparkSession
-    rows = labelled.where(col(text_col).isNotNull() & col(lang_col).isNotNull()).select(col(text_col).alias("text"), col(lang_col).alias("lang"), F.xxhash64(col(id_col), F.lit(seed)).alias("draw"))
+    rows = _labelled(labelled, id_col, text_col, lang_col, seed)
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if max_docs is None:
+        return rows.select("lang", "text"), counts
     # draw is uniform: a threshold keeps the wanted share of each language
     share = spark.createDataFrame([(x, min(1.0, max_docs / n)) for x, n in counts.items()], "lang string, share double")
     rows = rows.join(F.broadcast(share), "lang").where(F.shiftrightunsigned("draw", 33) < F.col("share") * F.lit(float(1 << 31))).select("lang", "text")
     return rows, counts
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, seed: int = 11) -> Model:
-    """Fits on rows with a text and a language; about ``max_docs`` of each language, by a hash."""
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int | None = MAX_DOCS, seed: int = 11) -> Model:
+    """Fits on rows with a text and a language; about ``max_docs`` of each language, by a hash, or all (None)."""
     spark = labelled.sparkSession
     bounded_batches(spark)
     rows, counts = _drawn(labelled, id_col, text_col, lang_col, max_docs, seed)
@@ -221,11 +237,36 @@ class Usual:
         return self.middle[lang] - deviations * np.sqrt(self.between[lang] ** 2 + self.within[lang] ** 2 * OVERLAP / np.maximum(n, 1))
 
 
-def usual(model: Model, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, seed: int = 11) -> Usual:
-    """What labelled texts show, about ``max_docs`` of each language (those of ``train``); medians, so that
-    some wrongly labelled texts among them do not count."""
+#: Bins of means in which quartiles are looked up, to a unit of log-probability.
+BINS = 4096
+
+
+def _quartiles(means: DataFrame) -> dict[int, list[float]]:
+    """Lower quartile and median of ``mean`` by ``lang``, exact, as ``percentile`` has them: bins are counted,
+    and only those that hold a wanted rank are put in order."""
+    each = means.groupBy("lang", "mean").agg(F.count(F.lit(1)).alias("n")).withColumn("bin", F.floor(F.col("mean") * BINS))
+    before = Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = each.groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    bins = bins.withColumns({"first": F.coalesce(F.sum("n").over(before), F.lit(0)), "total": F.sum("n").over(Window.partitionBy("lang"))})
+    place = [(F.col("total") - 1) * p for p in (0.25, 0.5)]
+    ranks = F.array(*[F.struct(F.lit(2 * i + k).alias("which"), rank.cast("long").alias("rank"), F.col("total")) for i, p in enumerate(place) for k, rank in enumerate((F.floor(p), F.ceil(p)))])
+    wanted = bins.select("lang", "bin", "first", F.col("n").alias("in_bin"), F.explode(ranks).alias("at")).where("at.rank >= first AND at.rank < first + in_bin").select("lang", "bin", "first", "at.*")
+    held = each.join(F.broadcast(wanted.select("lang", "bin").distinct()), ["lang", "bin"], "left_semi")
+    upto = Window.partitionBy("lang", "bin").orderBy("mean").rowsBetween(Window.unboundedPreceding, 0)
+    held = held.withColumn("upto", F.sum("n").over(upto)).join(F.broadcast(wanted), ["lang", "bin"])
+    found: dict[int, list[float]] = {}
+    total = {}
+    for r in held.where("rank >= first + upto - n AND rank < first + upto").select("lang", "which", "mean", "total").collect():
+        found.setdefault(r["lang"], [np.nan] * 4)[r["which"]] = r["mean"]
+        total[r["lang"]] = r["total"]
+    return {lang: [q[2 * i] + (q[2 * i + 1] - q[2 * i]) * ((total[lang] - 1) * p % 1) for i, p in enumerate((0.25, 0.5))] for lang, q in found.items()}
+
+
+def usual(model: Model, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Usual:
+    """What all labelled texts show; medians, so that some wrongly labelled texts among them do not count."""
     spark = labelled.sparkSession
-    rows = _drawn(labelled, id_col, text_col, lang_col, max_docs, seed)[0]
+    bounded_batches(spark)
+    rows = _labelled(labelled, id_col, text_col, lang_col).select("lang", "text")
     shared = spark.sparkContext.broadcast(model)
     number = {x: i for i, x in enumerate(model.languages)}
 
@@ -233,29 +274,33 @@ def usual(model: Model, labelled: DataFrame, id_col: str = "doc_id", text_col: s
         m = only(("langid",), lambda: None) or shared.value
         for b in batches:
             langs = [number[x] for x in b.column(0).to_pylist()]
-            *_, mean, n = m.judge(b.column(1).to_pylist(), usual=True)
+            mean, n = m.means(b.column(1).to_pylist())
             ok = n > 0
             yield pa.RecordBatch.from_arrays([pa.array(np.array(langs, np.int32)[ok]), pa.array(mean[ok])], names=["lang", "mean"])
 
-    found = rows.mapInArrow(run, "lang int, mean double").groupBy("lang").agg(F.percentile("mean", F.lit([0.25, 0.5, 0.75])).alias("q")).collect()
+    path = temporary(spark, "langid-means")
+    try:
+        found = _quartiles(written(rows.mapInArrow(run, "lang int, mean double"), path))
+    finally:
+        remove(spark, path)
     k = len(model.languages)
     middle, between = np.full(k, np.nan), np.full(k, np.nan)
-    for r in found:
+    for lang, (lower, half) in found.items():
         # the lower half's spread: what lies above the middle is never too unlikely
-        middle[r["lang"]], between[r["lang"]] = r["q"][1], (r["q"][1] - r["q"][0]) * 1.4826
+        middle[lang], between[lang] = half, (half - lower) * 1.4826
     p = np.exp(model.by_column.astype(float))
     spread = model.any**2 @ p - (model.any @ p) ** 2
     return Usual(middle, between, np.sqrt(np.maximum(spread, 0)))
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = MIN_SCORE, deviations: float = MAX_DEVIATIONS, fill: bool = False) -> DataFrame:
-    """``docs`` whose text has a language, by a model of their own labels; without any label, all that
+    """``docs`` whose text has a language, by a model of all their own labels; without any label, all that
     have a letter. With ``fill`` a null ``lang_col`` becomes the language found.
 
     The posterior tells languages apart but is near 1 for any long text, also of none of them; so the
     mean log-probability of the text's n-grams must besides be one that labelled texts of the language have.
     """
-    model = train(docs, id_col, text_col, lang_col)
+    model = train(docs, id_col, text_col, lang_col, max_docs=None)
     if not model.languages:
         return docs.where(F.coalesce(col(text_col), F.lit("")).rlike(r"\p{L}"))
     spark = docs.sparkSession
