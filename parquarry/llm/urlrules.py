@@ -8,9 +8,8 @@ rules; a candidate fits if all its tokens are there.
 
 Before FP-growth, whose work doubles with every token that URLs share: tokens that are too rare to
 be in any rule go; tokens that alone point to ``block`` surely enough are rules at once, and those without
-exception leave nothing to combine; of tokens that the very same labelled URLs have (the suffixes of one host,
-the segments of one path) one stands for all in combinations; and of what a URL then still has, the MAX_ITEMS
-tokens whose share of blocked URLs is farthest from that of all are mined.
+exception leave nothing to combine. Where a URL then still has more than MAX_ITEMS tokens, combinations
+are grown level by level instead (``_grown``), and only those that can become kept rules: all of these are found.
 
 Edge cases. Null or malformed url: empty host and path, no tokens, so no mined rule fits; verdict
 allow. No labels or no blocked ones: no mined rule. Equally sure rules: the better supported, then
@@ -36,7 +35,7 @@ LABEL = "label:"
 MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.9
 #: Whatever the share, it needs so many.
 MIN_COUNT = 5
-#: Tokens of one labelled URL that are mined for combinations at most (a bound on training: matching has none).
+#: With more tokens than these left in some labelled URL, combinations are grown level by level, not by FP-growth.
 MAX_ITEMS = 10
 #: Given rules are tried one after another in an expression; more than this many are refused.
 MAX_GIVEN = 500
@@ -89,19 +88,42 @@ def given_rule(host: Column, path: Column, rules: list[HostRule]) -> Column:
     return F.lit(None).cast("struct<rule:string,verdict:string>") if out is None else out
 
 
-def _mined_items(urls: DataFrame, n: int, n_block: int, min_count: int, min_confidence: float) -> tuple[DataFrame, DataFrame]:
-    """``urls`` (``row, tokens, bad``) to their items for FP-growth, and the tokens that are rules alone
-    (``tokens, confidence, support``), after the steps that the module's text tells."""
+def _mined_items(urls: DataFrame, n: int, min_count: int, min_confidence: float) -> tuple[DataFrame, DataFrame]:
+    """``urls`` (``row, tokens, bad``) to ``row, bad, items``, all that combinations can hold, and the tokens that
+    are rules alone (``tokens, confidence, support``)."""
     seen = urls.select("row", "bad", F.explode("tokens").alias("token"))
-    per = seen.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64("row", F.lit(1)).cast("decimal(38,0)")).alias("b"))
+    per = seen.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"))
     per = checkpointed(per.where(F.col("n_bad") >= min_count))
     alone = per.where(F.col("n_bad") / F.col("n") >= min_confidence).select(F.array("token").alias("tokens"), (F.col("n_bad") / F.col("n")).alias("confidence"), (F.col("n_bad") / F.lit(n)).alias("support"))
-    # equal counts and sums of two hashes: the same URLs; the longest token says most
-    one = per.where("n_bad < n").groupBy("n", "n_bad", "a", "b").agg(F.max_by("token", F.struct(F.length("token"), F.col("token"))).alias("token"))
-    rest = one.select("token", F.abs(F.col("n_bad") / F.col("n") - F.lit(n_block / n)).alias("apart"))
-    kept = seen.join(rest, "token").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("apart", "token")), asc=False).alias("t"))
-    items = F.transform(F.slice("t", 1, MAX_ITEMS), lambda x: x["token"])
-    return urls.join(kept.select("row", items.alias("items")), "row").select("bad", "items"), alone
+    rest = per.where("n_bad < n").select("token")
+    return seen.join(rest, "token").groupBy("row", "bad").agg(F.sort_array(F.collect_list("token")).alias("items")), alone
+
+
+def _grown(items: DataFrame, n: int, n_good: int, min_count: int, min_confidence: float) -> DataFrame:
+    """Rules on two tokens or more of ``items`` (``row, bad, items``), of all labelled URLs ``n``, ``n_good`` not blocked.
+
+    A token that excludes no allowed URL which the others of its combination fit can't make a rule surer, nor
+    any longer one: without it that would be as sure and better supported. So a combination is grown only
+    where each of its tokens excludes one, and where enough blocked URLs have it. Work grows with these.
+    """
+    seen = items.select("row", "bad", F.explode("items").alias("token"))
+    per = seen.groupBy("token").agg(F.count_if(~F.col("bad")).alias("good"))
+    last = checkpointed(per.where(F.col("good") < n_good).select(F.array("token").alias("tokens"), "good"))
+    seen = checkpointed(seen.join(last.select(F.col("tokens")[0].alias("token")), "token", "left_semi").select("row", "bad", "token"))
+    held = seen.select("row", F.array("token").alias("tokens"))
+    found = items.sparkSession.createDataFrame([], "tokens array<string>, confidence double, support double")
+    while not last.isEmpty():
+        held = held.join(seen, "row").where(F.col("token") > F.element_at("tokens", -1)).select("row", "bad", F.concat("tokens", F.array("token")).alias("tokens"))
+        level = held.groupBy("tokens").agg(F.count_if("bad").alias("n_bad"), F.count_if(~F.col("bad")).alias("good")).where(F.col("n_bad") >= min_count)
+        less = F.explode(F.transform("tokens", lambda x: F.array_remove("tokens", x))).alias("less")
+        before = last.select(F.col("tokens").alias("less"), F.col("good").alias("less_good"))
+        fit = level.select("*", less).join(before, "less").where("good < less_good").groupBy("tokens", "n_bad", "good").agg(F.count(F.lit(1)).alias("k"))
+        level = checkpointed(fit.where(F.col("k") == F.size("tokens")).drop("k"))
+        sure = F.col("n_bad") / (F.col("n_bad") + F.col("good"))
+        found = found.unionByName(level.where(sure >= min_confidence).select("tokens", sure.alias("confidence"), (F.col("n_bad") / F.lit(n)).alias("support")))
+        last = level.where("good > 0").select("tokens", "good")
+        held = checkpointed(held.join(last.select("tokens"), "tokens", "left_semi").select("row", "tokens"))
+    return found
 
 
 def mine(labelled: DataFrame, url_col: str = "url", label_col: str = "label", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -118,22 +140,30 @@ def mine(labelled: DataFrame, url_col: str = "url", label_col: str = "label", mi
     if not n_block:
         return empty
     min_count = max(MIN_COUNT, math.ceil(min_support * n - 1e-9))
-    items, found = _mined_items(urls, n, n_block, min_count, min_confidence)
-    items = checkpointed(items.select(F.concat("items", F.array(F.when(F.col("bad"), LABEL + BLOCK).otherwise(LABEL))).alias("items")))
-    n_items = items.count()
-    if n_items:
+    items, found = _mined_items(urls, n, min_count, min_confidence)
+    items = checkpointed(items)
+    n_items, most = items.agg(F.count(F.lit(1)), F.max(F.size("items"))).first()
+    if n_items and most > MAX_ITEMS:
+        found = found.unionByName(_grown(items, n, n - n_block, min_count, min_confidence))
+    elif n_items:
+        items = items.select(F.concat("items", F.array(F.when(F.col("bad"), LABEL + BLOCK).otherwise(LABEL))).alias("items"))
         # support is a share of all labelled rows, also of those that have no item left
         model = FPGrowth(itemsCol="items", minSupport=min(1.0, (min_count - 0.5) / n_items), minConfidence=min_confidence).fit(items)
         some = model.associationRules.where((F.element_at("consequent", 1) == LABEL + BLOCK) & (F.size("antecedent") > 1) & ~F.exists("antecedent", lambda t: t.startswith(LABEL)))
         found = found.unionByName(some.select(F.array_sort("antecedent").alias("tokens"), "confidence", (F.col("support") * F.lit(n_items / n)).alias("support")))
     found = checkpointed(found)
-    # a shorter rule that implies this one: look it up by this one's subsets, 2 ** MAX_ITEMS at most
+    # a shorter rule that implies this one: look it up by this one's subsets, 2 ** MAX_ITEMS at most, or by one token
     t = F.col("tokens")
+    whole = found
+    found = whole.where(F.size(t) <= MAX_ITEMS)
     subsets = F.transform(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(t)) - 2), lambda m: F.filter(t, lambda _, i: F.call_function("getbit", m, i) == 1))
     subsets = F.when(F.size(t) > 1, subsets).otherwise(F.array().cast("array<array<string>>"))
     short = found.select(t.alias("sub"), F.col("confidence").alias("sub_confidence"))
     implied = found.select("tokens", "confidence", F.explode(subsets).alias("sub")).join(short, "sub").where(F.col("sub_confidence") >= F.col("confidence")).select("tokens").distinct()
-    return found.join(implied, "tokens", "left_anti")
+    by_token = whole.select(t.alias("sub"), F.col("confidence").alias("sub_confidence"), F.col("tokens")[0].alias("token"))
+    longer = whole.where(F.size(t) > MAX_ITEMS).select("tokens", "confidence", F.explode("tokens").alias("token")).join(by_token, "token")
+    longer = longer.where((F.size("sub") < F.size("tokens")) & (F.col("sub_confidence") >= F.col("confidence")) & (F.size(F.array_except("sub", "tokens")) == 0))
+    return whole.join(implied.unionByName(longer.select("tokens").distinct()), "tokens", "left_anti")
 
 
 def _index(rules: DataFrame, urls: DataFrame) -> DataFrame:
