@@ -199,34 +199,73 @@ def _plain_number(text: Column) -> Column:
     return F.when(text.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]{1,18})?([eE][+-]?[0-9]+)?$") & short.isNotNull(), short).otherwise(text)
 
 
+def _cast(df: DataFrame, c: str, t: str) -> Column:
+    return (F.trim(col(c)) if isinstance(df.schema[c].dataType, T.StringType) else col(c)).try_cast(t)
+
+
+def _misfits(df: DataFrame, wanted: Sequence[tuple[str, str]], strict: bool) -> dict[tuple[str, str], int]:
+    """How many values of a column a type can't hold, of the (column, type) pairs with any; one aggregation.
+    With ``strict`` the new value must spell the old text, or be the old number; else it must be one at all."""
+    lost = []
+    for c, t in wanted:
+        text = isinstance(df.schema[c].dataType, T.StringType)
+        new, wrong = _cast(df, c, t), F.lit(False)
+        if strict:
+            wrong = _respelled(new, t) != _plain_number(F.trim(col(c))) if text else new.cast(df.schema[c].dataType) != col(c)
+        lost.append(F.count_if(col(c).isNotNull() & (new.isNull() | wrong)))
+    row = df.agg(*[v.alias(f"n{i}") for i, v in enumerate(lost)]).first() if lost else ()
+    return {p: n for p, n in zip(wanted, row, strict=True) if n}
+
+
+def _widened(df: DataFrame, found: dict[str, str], strict: bool) -> dict[str, str]:
+    """Types that hold all rows in place of those in ``found``. A column that none narrower than its own does is left out."""
+    made = propose_types(df, list(found), shrink=True) if found else {}
+    text = [c for c, t in made.items() if t == "float" and isinstance(df.schema[c].dataType, T.StringType)]
+    pairs = [*made.items(), *[(c, "double") for c in text]]
+    bad = _misfits(df, pairs, strict)
+    out: dict[str, str] = {}
+    for c, t in pairs:
+        if (c, t) not in bad:
+            out.setdefault(c, t)
+    return out
+
+
+def _proposed(df: DataFrame, include: Sequence[str] | None, exclude: Sequence[str], first: int | None, strict: bool) -> tuple[dict[str, str], dict[tuple[str, str], int]]:
+    """Types proposed from the ``first`` rows and widened to all, and the misfits of those that don't even hold the first."""
+    # which rows are the first may change from read to read: they are kept for both looks
+    look = df if first is None else df.select(*[col(c) for c in df.columns if c not in exclude]).limit(first).persist()
+    try:
+        found = propose_types(look, include, exclude, shrink=True)
+        bad = _misfits(df, list(found.items()), strict)
+        early = bad if first is None else _misfits(look, list(bad), strict)
+    finally:
+        if first is not None:
+            look.unpersist()
+    late = {c: t for c, t in bad if (c, t) not in early}
+    wider = _widened(df, late, strict)
+    return {c: wider.get(c, t) for c, t in found.items() if c not in late or c in wider}, {p: n for p, n in bad.items() if p in early}
+
+
 def optimize_dtypes(ds: ParquetDataset, *, include: Sequence[str] | None = None, exclude: Sequence[str] = (), strict: bool = True, types: dict[str, str] | None = None, infer_schema_size: int | None = 10_000, compression: str = "zstd", dry_run: bool = False, **how: Any) -> dict[str, str] | None:
     """Narrower types, proposed from the first rows (or given) and checked on all rows before any file changes.
 
-    ``strict``: a value that its new type can't hold exactly stops the rewrite. Else such become null.
+    A proposal that holds the first rows and not all is widened until it does, or dropped. ``strict``: a value that
+    a given type, or of the first rows that the proposal, can't hold exactly stops the rewrite. Else such become null.
     """
     _checked(how, ("ts_unit", "tz", "max_rows_per_file"))
     df = ds._read()
-    found = dict(types) if types is not None else propose_types(df, include, [*exclude, *ds.partition_names], shrink=True, sample_rows=infer_schema_size)
+    if types is not None:
+        found = dict(types)
+        bad = _misfits(df, list(found.items()), strict) if strict and not dry_run else {}
+    else:
+        found, bad = _proposed(df, include, [*exclude, *ds.partition_names], infer_schema_size, strict)
     if dry_run:
         return found
+    if strict and bad:
+        raise RuntimeError(f"values that don't fit: { {c: n for (c, _), n in bad.items()} }; no file was changed")
     if not found:
         return None
-
-    def cast(c: str, t: str):
-        v = F.trim(col(c)) if isinstance(df.schema[c].dataType, T.StringType) else col(c)
-        return v.try_cast(t)
-
-    if strict:
-        lost = {}
-        for c, t in found.items():
-            # the new value must spell the old text, or be the old number
-            old = F.trim(col(c)) if isinstance(df.schema[c].dataType, T.StringType) else col(c)
-            lossy = _respelled(cast(c, t), t) != _plain_number(old) if isinstance(df.schema[c].dataType, T.StringType) else cast(c, t).cast(df.schema[c].dataType) != old
-            lost[c] = F.count_if(col(c).isNotNull() & (cast(c, t).isNull() | lossy))
-        bad = df.agg(*[v.alias(c) for c, v in lost.items()]).first().asDict()
-        if any(bad.values()):
-            raise RuntimeError(f"values that don't fit: { {c: n for c, n in bad.items() if n} }; no file was changed")
-    out = df.withColumns({c: cast(c, t) for c, t in found.items()})
+    out = df.withColumns({c: _cast(df, c, t) for c, t in found.items()})
     _rewrite(ds, out, ds.files, ds.partition_names, compression, None, df.count())
     ds._schema = None
     _refresh(ds)
