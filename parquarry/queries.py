@@ -372,8 +372,10 @@ def compact_ordered_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row's place when the files are read one after another in the order of their names."""
     ds = _dataset(spark, "orders_places", table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").repartition(6))
     ds.compact_by_rows(max_rows_per_file=4000, sort_by="o_totalprice desc, o_orderkey")
-    one = ds.spark.read.parquet(ds.path).select("o_orderkey", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i"))
-    return one.select("o_orderkey", F.row_number().over(Window.orderBy("f", "i")).cast("long").alias("at"))
+    one = ds.spark.read.parquet(ds.path).select("o_orderkey", F.col("_metadata.file_name").alias("file_path"), F.col("_metadata.row_index").alias("i"))
+    before = F.sum("num_rows").over(Window.orderBy("nth").rowsBetween(Window.unboundedPreceding, -1))
+    starts = _files(ds).select("file_path", F.coalesce(before, F.lit(0)).alias("before"))
+    return one.join(starts, "file_path").select("o_orderkey", (F.col("before") + F.col("i") + 1).alias("at"))
 
 
 @query("SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS num_rows, CAST(min(o_orderkey) AS BIGINT) AS least, CAST(max(o_orderkey) AS BIGINT) AS most FROM orders GROUP BY o_orderstatus")
